@@ -9,6 +9,7 @@ not of pieces. Pieces are numbered within their length and look up their bin in
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +25,10 @@ from pyspark.sql import types as T
 from lagoon.llm.common import materialise, row_slices, text_or_empty
 
 
+#: Letters and digits as a, full stop and comma as ., white space kept, the rest as x.
+KINDS = bytes(97 if chr(i).isalnum() and i < 128 else 46 if i in b".," else i if i in b" \n" else 120 for i in range(256))
+
+
 class WordCache:
     """Token ids of texts by a tokenizer whose words never cross ASCII white space.
 
@@ -31,26 +36,62 @@ class WordCache:
     the library and remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    #: One full stop or comma between an ASCII letter and a space is a word of its own to the tokenizer.
+    STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.most = most
+        coded = lambda x: self.library.encode(x, add_special_tokens=False).ids
         for probe in ("one two", "a\n\nb", " x\t'll y ", "1 2\r\n3"):
-            if self.library.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]:
+            if coded(probe) != [i for w in probe.split() for i in coded(w)]:
                 raise ValueError("this tokenizer's words cross white space")
+        self.folds = coded("ABC Xyz") == coded("abc xyz")
+        self.stops = coded("abc, x. 1, 2") == coded("abc , x . 1 , 2")
+        special = [t.content for t in self.library.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")]
+        self.between = special[0] if special else None
+        self.mark = self.library.token_to_id(self.between) if special else -1
+
+    def words(self, text: str) -> list[bytes]:
+        """The text cut at white space; case and stops are taken off where they do not change the ids."""
+        raw = text.encode()
+        if b"<|" in raw:  # perhaps a special token, which is found before case is dropped
+            return raw.split()
+        if self.folds:
+            raw = raw.lower()
+        if self.stops:
+            kinds = raw.translate(KINDS)
+            if b"x. " in kinds or b".. " in kinds:
+                raw = self.STOP.sub(rb" \1", raw)
+            else:  # every stop before white space follows a letter or a digit
+                raw = raw.replace(b", ", b" , ").replace(b". ", b" . ")
+        return raw.split()
+
+    def encode(self, words: list[bytes], together: int = 2000) -> dict[bytes, bytes]:
+        """Ids of distinct words; many go to the library as one text with a special token between."""
+        made = {}
+        alone = [w for w in words if self.between is None or b"<|" in w]
+        for w in alone:
+            made[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        some = [w for w in words if w not in made] if alone else words
+        blocks = [some[i : i + together] for i in range(0, len(some), together)]
+        texts = [self.between.join(w.decode() for w in b) for b in blocks]
+        for block, coded in zip(blocks, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            raw, at = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+            made.update(zip(block, (raw[a:b] for a, b in zip(at, [*(4 * cut).tolist(), len(raw)], strict=True)), strict=True))
+        return made
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end to end."""
-        words = [t.encode().split() for t in texts]
+        words = [self.words(t) for t in texts]
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        made = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            made.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
+        made = self.encode(new) if new else {}
         if len(known) + len(made) <= self.most:
             known.update(made)
             return [b"".join(map(known.__getitem__, w)) for w in words]
