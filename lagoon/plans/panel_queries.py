@@ -58,7 +58,7 @@ def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "w4_w6_rolling",
     f"""WITH {RETURNS} SELECT entity, d,
-      round(CASE WHEN count(close) OVER w20 >= 5 THEN avg(close) OVER w20 END, 6) AS mean20,
+      round(CASE WHEN count(close) OVER w20 >= 5 THEN avg(close) OVER w20 END, 3) AS mean20,
       round(CASE WHEN count(r) OVER w20 >= 5 THEN stddev_samp(r) OVER w20 END, 6) AS vol20,
       round(CASE WHEN count(r) OVER w20 >= 5 THEN stddev_samp(CASE WHEN r < 0 THEN r WHEN r IS NOT NULL THEN 0 END) OVER w20 END, 6) AS downside20,
       CASE WHEN count(close) OVER w63 >= 20 THEN max(close) OVER w63 END AS high63,
@@ -69,7 +69,7 @@ def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagoon.functions.exprs import clip
 
     x, high = returns(spark, sf_dir), P.rolling(F.max, "close", 63, 20, W)
-    return x.select("entity", "d", _r(P.rolling(F.avg, "close", 20, 5, W), "mean20"), _r(P.rolling(F.stddev_samp, "r", 20, 5, W), "vol20"), _r(P.rolling(F.stddev_samp, clip("r", None, 0.0), 20, 5, W), "downside20"), high.alias("high63"), _r(F.col("close") / high - 1, "off_high63"))
+    return x.select("entity", "d", _r(P.rolling(F.avg, "close", 20, 5, W), "mean20", 3), _r(P.rolling(F.stddev_samp, "r", 20, 5, W), "vol20"), _r(P.rolling(F.stddev_samp, clip("r", None, 0.0), 20, 5, W), "downside20"), high.alias("high63"), _r(F.col("close") / high - 1, "off_high63"))
 
 
 @query(
