@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lagoon.operators import panel as P
 from lagoon.plans.registry import query
 from lagoon.plans.tables import BARS, RETURNS, bars, returns, table
 
-W = P.ordered("entity", "d")
+def _w() -> WindowSpec:
+    """Rows of an entity in time order; made when a query is, since it needs a session."""
+    return P.ordered("entity", "d")
 
 
 def _r(c, name: str, digits: int = 6):
@@ -29,8 +31,8 @@ def _r(c, name: str, digits: int = 6):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagoon.operators.select import tails
 
-    b = bars(spark, sf_dir).withColumn("r1", P.change("close", 1, W)).withColumn("vol", P.rolling(F.stddev_samp, "r1", 20, 5, W))
-    b = b.withColumns({"signal": F.try_divide("r1", F.nullif("vol", F.lit(0.0))), "target": F.try_divide(F.lead("close").over(W), F.nullif(F.lead("open").over(W), F.lit(0.0))) - 1})
+    b = bars(spark, sf_dir).withColumn("r1", P.change("close", 1, _w())).withColumn("vol", P.rolling(F.stddev_samp, "r1", 20, 5, _w()))
+    b = b.withColumns({"signal": F.try_divide("r1", F.nullif("vol", F.lit(0.0))), "target": F.try_divide(F.lead("close").over(_w()), F.nullif(F.lead("open").over(_w()), F.lit(0.0))) - 1})
     t = tails(b.where("signal is not null and target is not null"), "signal", ["d"], "entity", 0.1).where("names >= 5")
     return t.groupBy("d").agg(F.max("names").cast("bigint").alias("names"), _r(F.avg(F.when(F.col("side") == 1, F.col("target"))) - F.avg(F.when(F.col("side") == -1, F.col("target"))), "spread"))
 
@@ -42,8 +44,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = P.lags(bars(spark, sf_dir), ["close", "volume"], [1, 5], "entity", "d")
-    target = F.try_divide(F.lead("close", 4).over(W), F.nullif(F.lead("open", 1).over(W), F.lit(0.0))) - 1
-    return b.withColumns({"target_end": F.lead("d", 4).over(W), "target": F.round(target, 6)}).drop("open", "close", "volume")
+    target = F.try_divide(F.lead("close", 4).over(_w()), F.nullif(F.lead("open", 1).over(_w()), F.lit(0.0))) - 1
+    return b.withColumns({"target_end": F.lead("d", 4).over(_w()), "target": F.round(target, 6)}).drop("open", "close", "volume")
 
 
 @query(
@@ -52,7 +54,7 @@ def lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity, d, round(c1, 6) AS c1, round(ln(1 + c5), 6) AS l5 FROM c""",
 )
 def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("entity", "d", _r(P.change("close", 1, W), "c1"), _r(P.log_return("close", 5, W), "l5"))
+    return bars(spark, sf_dir).select("entity", "d", _r(P.change("close", 1, _w()), "c1"), _r(P.log_return("close", 5, _w()), "l5"))
 
 
 @query(
@@ -68,8 +70,8 @@ def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagoon.functions.exprs import clip
 
-    x, high = returns(spark, sf_dir), P.rolling(F.max, "close", 63, 20, W)
-    return x.select("entity", "d", _r(P.rolling(F.avg, "close", 20, 5, W), "mean20", 3), _r(P.rolling(F.stddev_samp, "r", 20, 5, W), "vol20"), _r(P.rolling(F.stddev_samp, clip("r", None, 0.0), 20, 5, W), "downside20"), high.alias("high63"), _r(F.col("close") / high - 1, "off_high63"))
+    x, high = returns(spark, sf_dir), P.rolling(F.max, "close", 63, 20, _w())
+    return x.select("entity", "d", _r(P.rolling(F.avg, "close", 20, 5, _w()), "mean20", 3), _r(P.rolling(F.stddev_samp, "r", 20, 5, _w()), "vol20"), _r(P.rolling(F.stddev_samp, clip("r", None, 0.0), 20, 5, _w()), "downside20"), high.alias("high63"), _r(F.col("close") / high - 1, "off_high63"))
 
 
 @query(
@@ -78,7 +80,7 @@ def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM bars WINDOW w AS (PARTITION BY entity ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 )
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("entity", "d", _r(P.zscore("volume", 20, 5, W), "z"))
+    return bars(spark, sf_dir).select("entity", "d", _r(P.zscore("volume", 20, 5, _w()), "z"))
 
 
 @query(
@@ -90,7 +92,7 @@ def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity, d, round(CASE WHEN m IS NOT NULL AND nullif(s, 0) IS NOT NULL THEN greatest(-5, least(5, (volume - m) / nullif(s, 0))) END, 6) AS z FROM s""",
 )
 def prior_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("entity", "d", _r(P.prior_zscore("volume", W), "z"))
+    return bars(spark, sf_dir).select("entity", "d", _r(P.prior_zscore("volume", _w()), "z"))
 
 
 @query(
@@ -100,7 +102,7 @@ def prior_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.entity, b.d, round(CASE WHEN n >= 20 THEN k / n END, 6) AS p FROM bars b LEFT JOIN j USING (entity, d)""",
 )
 def trailing_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).select("entity", "d", _r(P.trailing_percentile("close", W, 52, 20), "p"))
+    return bars(spark, sf_dir).select("entity", "d", _r(P.trailing_percentile("close", _w(), 52, 20), "p"))
 
 
 @query(
@@ -110,8 +112,8 @@ def trailing_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity, d, round(lag(z) OVER (PARTITION BY entity ORDER BY d), 6) AS shock FROM z""",
 )
 def lagged_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).withColumn("c", P.change("close", 5, W)).withColumn("z", P.prior_zscore("c", W, 52, 10, None, fallback=False))
-    return b.select("entity", "d", _r(F.lag("z").over(W), "shock"))
+    b = bars(spark, sf_dir).withColumn("c", P.change("close", 5, _w())).withColumn("z", P.prior_zscore("c", _w(), 52, 10, None, fallback=False))
+    return b.select("entity", "d", _r(F.lag("z").over(_w()), "shock"))
 
 
 @query(
@@ -123,7 +125,7 @@ def lagged_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = returns(spark, sf_dir).withColumn("x", F.avg("r").over(Window.partitionBy("d")))
-    return P.add_beta(x, "r", "x", W, 52, 10, "beta").select("entity", "d", _r(F.col("beta"), "beta"))
+    return P.add_beta(x, "r", "x", _w(), 52, 10, "beta").select("entity", "d", _r(F.col("beta"), "beta"))
 
 
 @query(
@@ -271,7 +273,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity, d, round(dot, 6) AS dot FROM s WHERE n = 30""",
 )
 def sequence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = returns(spark, sf_dir).withColumn("i", F.row_number().over(W))
-    x = x.withColumn("s", P.sequence_window(["i", "r"], W, 30)).where("s is not null")
+    x = returns(spark, sf_dir).withColumn("i", F.row_number().over(_w()))
+    x = x.withColumn("s", P.sequence_window(["i", "r"], _w(), 30)).where("s is not null")
     dot = F.aggregate("s", F.lit(0.0), lambda a, v: a + F.coalesce(v["r"] * v["i"], F.lit(0.0)))
     return x.select("entity", "d", _r(dot, "dot"))

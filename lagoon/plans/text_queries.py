@@ -271,7 +271,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "m1_ridge_walk_forward",
-    f"""WITH {RETURNS}, x AS (SELECT entity, d, year(d) AS y, least(1, greatest(-1, r)) AS r, least(1, greatest(-1, lag(r) OVER w)) AS f, lead(d) OVER w AS e FROM returns WINDOW w AS (PARTITION BY entity ORDER BY d)),
+    f"""WITH {RETURNS}, b0 AS (SELECT entity, d, CASE WHEN r > 1 THEN 1 WHEN r < -1 THEN -1 ELSE r END AS r FROM returns), x AS (SELECT entity, d, year(d) AS y, r, lag(r) OVER w AS f, lead(d) OVER w AS e FROM b0 WINDOW w AS (PARTITION BY entity ORDER BY d)),
     c AS (SELECT x.*, coalesce(f, 0) AS f0 FROM x WHERE r IS NOT NULL AND e IS NOT NULL), yr AS (SELECT unnest([1997, 1998]) AS py),
     g AS (SELECT py, avg(f0) AS mf, avg(r) AS mr, sum(f0 * f0) - count(*) * avg(f0) * avg(f0) AS sxx, sum(f0 * r) - count(*) * avg(f0) * avg(r) AS sxy FROM c JOIN yr ON y >= py - 2 AND y < py AND year(e) < py GROUP BY 1)
     SELECT entity, d, round((mr - sxy / (sxx + 10.0) * mf) + sxy / (sxx + 10.0) * coalesce(f, 0), 6) AS prediction FROM x JOIN g ON y = py""",
