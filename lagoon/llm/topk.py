@@ -84,6 +84,7 @@ class Block:
             bound = (norm + q @ q - under * under) / 2
             bound += 1.0 + 1e-9 * (norm + q @ q)
             bound[~np.isfinite(bound)] = np.inf
+            bound = np.maximum(bound, LONG_MIN)  # no saturated score is lower
             left = np.flatnonzero((bound >= self.floor[i]) & (ids != self.ids[i]))
             left = left[np.argsort(-bound[left], kind="stable")]
             kept_ids, kept = np.empty(0, np.int64), np.empty(0, np.int64)
