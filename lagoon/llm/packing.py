@@ -106,14 +106,19 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
-def fullest(counts: dict[int, int], room: int) -> list[int]:
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> list[int]:
     """Lengths, with repeats, whose sum is the largest that fits `room`; longest lengths preferred.
 
+    With a slack the first sums found within it will do, so that short lengths are kept for later.
+
     Subset-sum in one integer's bits. Lengths come in decreasing order, and `reach[i]` keeps the sums
     possible with those before the i-th, for the way back. Stops when `room` itself is reached.
     """
-    goal, mask, reach, used = 1 << room, (1 << (room + 1)) - 1, [], []
+    goal = ((1 << (room + 1)) - 1) ^ ((1 << max(0, room - slack)) - 1)
+    mask, reach, used = (1 << (room + 1)) - 1, [], []
     sums = 1
+    if sums & goal:
+        return []
     for length in sorted((x for x in counts if x <= room), reverse=True):
         left = min(counts[length], room // length)
         step = 1
@@ -162,8 +167,29 @@ class Plan:
         return self.bin[row] + place // self.times[row], self.offset[row] + place % self.times[row] * length
 
 
+#: Shares of the capacity that a bin may leave free in later attempts.
+RELAXED = (0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.16)
+
+
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> Plan:
-    """The packing of a histogram of lengths, each between 1 and `capacity`."""
+    """The packing of a histogram of lengths, each between 1 and `capacity`.
+
+    Filling every bin to the brim can use up short pieces that long ones will lack. Unless no bin at all
+    can be saved, it is tried again with some slack allowed, and the fewest bins are taken.
+    """
+    least = max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    best = packed_bins(counts, capacity, 0)
+    for share in RELAXED:
+        if best.bins <= least:
+            break
+        other = packed_bins(counts, capacity, int(share * capacity))
+        if other.bins < best.bins:
+            best = other
+    return best
+
+
+def packed_bins(counts: dict[int, int], capacity: int, slack: int) -> Plan:
+    """One run: bin after bin the longest piece left and the fullest complement of it."""
     left = {k: int(v) for k, v in counts.items() if v}
     given = dict.fromkeys(left, 0)
     rows: list[tuple[int, int, int, int, int, int]] = []
@@ -174,7 +200,7 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> Plan:
         rest[longest] -= 1
         if not rest[longest]:
             del rest[longest]
-        chosen = [longest, *fullest(rest, capacity - longest)]
+        chosen = [longest, *fullest(rest, capacity - longest, slack)]
         times: dict[int, int] = {}
         for x in chosen:
             times[x] = times.get(x, 0) + 1
