@@ -130,7 +130,7 @@ def canonical_roots(df: DataFrame, key: str, digest: Column, fingerprint: str, s
 
 
 TAIL = re.compile(r"^(?:related (?:articles|stories|topics)|read more|sign up|subscribe|about the author|copyright|all rights reserved|advertisement|comments?)\b", re.I)
-NOISE = re.compile(r"^(?:share(?: this)?(?: article)?|print|email|follow us.*|advertisement|sponsored|loading\W*|click here.*|photo(?: credit)?:.*|image:.*|by [A-Z][\w.'-]+(?: [A-Z][\w.'-]+){0,3})$")
+NOISE = re.compile(r"^(?:(?i:share(?: this)?(?: article)?|print|email|follow us.*|advertisement|sponsored|loading\W*|click here.*|photo(?: credit)?:.*|image:.*)|[Bb]y [A-Z][\w.'-]+(?: [A-Z][\w.'-]+){0,3})$")
 
 
 def clean_paragraphs(paragraphs: Sequence[str], boilerplate: frozenset[str] = frozenset(), key: Callable[[str], str] = str.casefold) -> list[str]:
