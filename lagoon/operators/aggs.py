@@ -76,11 +76,14 @@ def rank_ic(df: DataFrame, group: Sequence[str], prediction: str, target: str, l
 
 
 def feature_ic(df: DataFrame, day: str, period: Column, features: Sequence[str], target: str, least: int = 3) -> DataFrame:
-    """period, feature: mean, deviation and positive share of the daily IC, and the share of missing values."""
+    """period, feature: mean, deviation and positive share of the daily IC, and the share of missing values.
+
+    A coefficient that is 0 but for rounding is not positive.
+    """
     stacked = df.withColumn("__period", period).unpivot(["__period", day, target], list(features), "feature", "__x")
     missing = stacked.groupBy("__period", "feature").agg(F.avg(F.col("__x").isNull().cast("double")).alias("missing"))
     ic = rank_ic(stacked, ["__period", day, "feature"], "__x", target, least)
-    out = ic.groupBy("__period", "feature").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("ic").alias("days"))
+    out = ic.groupBy("__period", "feature").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("positive"), F.count("ic").alias("days"))
     return missing.join(out, ["__period", "feature"], "left").withColumnRenamed("__period", "period")
 
 

@@ -150,7 +150,7 @@ def sector_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT year(d) AS period, avg(CASE WHEN volume > 60 THEN 0.0 ELSE 1.0 END) AS mv FROM scored GROUP BY 1),
     k AS (SELECT d, feature, {RANKED.format(g="d, feature", x="x")} AS p, {RANKED.format(g="d, feature", x="target")} AS t FROM u WHERE x IS NOT NULL),
     c AS (SELECT d, feature, CASE WHEN stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12 THEN corr(p, t) END AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 3)
-    SELECT CAST(year(d) AS INTEGER) AS period, feature, round(CASE WHEN feature = 'score' THEN 0 ELSE any_value(mv) END, 6) AS missing, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END), 6) AS positive, CAST(count(ic) AS BIGINT) AS days
+    SELECT CAST(year(d) AS INTEGER) AS period, feature, round(CASE WHEN feature = 'score' THEN 0 ELSE any_value(mv) END, 6) AS missing, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END), 6) AS positive, CAST(count(ic) AS BIGINT) AS days
     FROM c JOIN m ON m.period = year(d) GROUP BY 1, 2""",
 )
 def feature_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
