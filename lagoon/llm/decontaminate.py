@@ -57,10 +57,11 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     return parts
 
 
-def align(item: np.ndarray, window: np.ndarray, shift: int, half: int) -> tuple[int, int, int]:
+def align(item: np.ndarray, window: np.ndarray, shift: int, half: int, most: int) -> tuple[int, int, int]:
     """Fewest edits between `item` and a part of `window`, on diagonals shift - half .. shift + half.
 
-    Returns edits, begin and end of that part. Free ends in the window; unit costs.
+    Returns edits, begin and end of that part; stops early, with more than `most` edits, when no cell is
+    left within them. Free ends in the window; unit costs.
     """
     m, n, width = len(item), len(window), 2 * half + 1
     far = np.int64(1 << 30)
@@ -69,24 +70,32 @@ def align(item: np.ndarray, window: np.ndarray, shift: int, half: int) -> tuple[
     place = shift - half + offs
     cost = np.where((place >= 0) & (place <= n), 0, far)
     begin = place.copy()
+    # window places from the first row's to the last row's, padded so that every row is a slice
+    padded = np.full(m + width + 1, -1, np.int64)
+    first = shift - half
+    a, b = max(0, first), min(n, first + m + width)
+    if b > a:
+        padded[a - first : b - first] = window[a:b]
+    up, up_begin = np.empty(width, np.int64), np.zeros(width, np.int64)
+    up[-1] = far
     for i in range(1, m + 1):
-        place = i + shift - half + offs
-        inside = (place >= 1) & (place <= n)
-        same = np.zeros(width, bool)
-        same[inside] = window[place[inside] - 1] == item[i - 1]
-        diag = cost + ~same
-        diag[~inside] = far
-        up = np.append(cost[1:], far) + 1
-        up_begin = np.append(begin[1:], 0)
-        new = np.minimum(diag, up)
-        new_begin = np.where(diag <= up, begin, up_begin)
-        new[(place < 0) | (place > n)] = far
+        left = i + first
+        diag = cost + (padded[i - 1 : i - 1 + width] != item[i - 1])
+        up[:-1] = cost[1:]
+        up_begin[:-1] = begin[1:]
+        new = np.minimum(diag, up + 1)
+        new_begin = np.where(diag <= up + 1, begin, up_begin)
         reach = np.minimum.accumulate(new - offs)
         src = np.maximum.accumulate(np.where(new - offs == reach, offs, 0))
         cost, begin = reach + offs, new_begin[src]
-        cost[(place < 0) | (place > n)] = far
+        if left < 0:
+            cost[: min(width, -left)] = far
+        if left + width - 1 > n:
+            cost[max(0, n - left + 1) :] = far
+        if cost.min() > most:
+            return most + 1, 0, 0
     best = int(np.argmin(cost))
-    return int(cost[best]), int(begin[best]), m + shift - half + best
+    return int(cost[best]), int(begin[best]), m + first + best
 
 
 @dataclass
@@ -172,28 +181,49 @@ class Passages:
         if not parts:
             return
         code, start = np.concatenate(parts), np.array(starts)
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        bands: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item, low, high in self.regions(code):
-            passage, k = self.codes[item], int(self.edits[item])
-            a = max(0, low - k)
-            b = min(len(code), high + len(passage) + k)
+            size, k = len(self.codes[item]), int(self.edits[item])
+            a, b = max(0, low - k), min(len(code), high + size + k)
             for row in range(max(0, int(np.searchsorted(start, a, side="right")) - 1), int(np.searchsorted(start, b))):
                 begin, stop = int(start[row]), int(start[row]) + len(places[row]) - 1
-                left, right = max(a, begin), min(b, stop)
-                if right - left < len(passage) - k:
-                    continue
-                window = code[left:right]
-                middle, half = (low + high) // 2 - left, (high - low) // 2 + 1 + k
-                cost, s, e = align(passage, window, middle, half)
-                if cost <= k:
-                    found.setdefault((row, item), []).append((cost, left - begin + s, left - begin + e))
-        for (row, item), all_of in found.items():
-            taken: list[tuple[int, int]] = []
-            for cost, s, e in sorted(set(all_of)):
-                if all(e <= x or s >= y for x, y in taken):
-                    taken.append((s, e))
-                    where = places[row]
-                    yield row, item, int(where[s]), int(where[e - 1]) + 1 if e > s else int(where[s]), cost
+                if min(b, stop) - max(a, begin) >= size - k:
+                    bands.setdefault((row, item), []).append((low - begin, high - begin))
+        for (row, item), some in bands.items():
+            begin = int(start[row])
+            text = code[begin : begin + len(places[row]) - 1]
+            where = places[row]
+            for cost, s, e in self.verified(item, text, some):
+                yield row, item, int(where[s]), int(where[e - 1]) + 1 if e > s else int(where[s]), cost
+
+    def verified(self, item: int, text: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(edits, begin, end) of regions of one text that do not overlap, those of fewest edits first.
+
+        Equal regions are looked for first. A band all of whose regions would overlap an equal one is
+        needless, since that one would be preferred.
+        """
+        passage, k = self.codes[item], int(self.edits[item])
+        size, wanted = len(passage), passage.astype("<u4").tobytes()
+        equal: set[int] = set()
+        for low, high in bands:
+            a, b = max(0, low - k), min(len(text), high + size + k)
+            raw, at = text[a:b].astype("<u4").tobytes(), -1
+            while (at := raw.find(wanted, at + 1)) >= 0:
+                if at % 4 == 0:
+                    equal.add(a + at // 4)
+        found = {(0, s, s + size) for s in equal}
+        for low, high in bands:
+            if any(low - k + size - k > s and high + k < s + size for s in equal):
+                continue
+            a, b = max(0, low - k), min(len(text), high + size + k)
+            cost, s, e = align(passage, text[a:b], (low + high) // 2 - a, (high - low) // 2 + 1 + k, k)
+            if cost <= k:
+                found.add((cost, a + s, a + e))
+        taken: list[tuple[int, int, int]] = []
+        for cost, s, e in sorted(found):
+            if all(e <= x or s >= y for _, x, y in taken):
+                taken.append((cost, s, e))
+        return taken
 
 
 def passage_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list, list[str]]]:
