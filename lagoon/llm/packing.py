@@ -252,7 +252,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     return slim.mapInArrow(run, T.StructType([T.StructField("id", slim.schema["id"].dataType), *(T.StructField(k, v) for k, v in kinds.items())]))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, most_offsets: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, most_offsets: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the id, piece, start, length, ids (binary), sequence_id, offset.
 
     A document is its ids and then `end_id`; only documents longer than `capacity` are cut. Null texts

@@ -290,6 +290,9 @@ def test_packing(spark):
     assert len(bins) == math.ceil(sum(r["length"] for r in got) / 256)
     seqs = sequences(pack(docs(spark), WORD, capacity=256)).collect()
     assert len(seqs) == len(bins) and all(len(s["ids"]) <= 1024 for s in seqs)
+    shuffled = pack(docs(spark), WORD, capacity=256, most_offsets=1).collect()
+    assert len(shuffled) == len(got) and len({r["sequence_id"] for r in shuffled}) == len(bins)
+    assert len({(r["sequence_id"], r["offset"]) for r in shuffled}) == len(got)
     assert pack(docs(spark, []), WORD).count() == 0
 
 
