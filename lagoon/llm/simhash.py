@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     linked = materialise(components(near_links(least.select("fp"), radius)))
     reached = linked.join(least, linked["node"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.join(reached, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = least.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # materialised, so that both sides of the last join are exchanges and AQE can split a hot fingerprint
+    by_fp = materialise(least.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     out = each.join(by_fp, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
