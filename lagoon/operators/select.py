@@ -79,15 +79,13 @@ def round_robin(df: DataFrame, group: Sequence[str], n: int, order: Sequence[Col
 def capped_greedy(df: DataFrame, split: str, score: str, tie: str, caps: dict[str, int], quota: int) -> DataFrame:
     """In each split the best rows in order, skipping those whose key in a capped column is used up.
 
-    Each choice depends on those before, so a split runs in one task; it must be bounded. At most
-    cap rows per key can ever be taken, so the rows are cut to those first, in parallel.
+    Each choice depends on those before, so a split runs in one task and must be bounded: a shortlist, not
+    a corpus. With a single cap no row beyond it can be taken, and such rows are cut in parallel first.
     """
     out = df
-    for col, cap in caps.items():
-        w = Window.partitionBy(split, col).orderBy(F.col(score).desc(), F.col(tie))
-        out = out.withColumn(f"__{col}", F.row_number().over(w)) if len(caps) == 1 else out
-        if len(caps) == 1:
-            out = out.where(F.col(f"__{col}") <= cap).drop(f"__{col}")
+    if len(caps) == 1:
+        (col, cap), = caps.items()
+        out = smallest(df, [split, col], cap, [F.col(score).desc(), F.col(tie)])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[tuple[str, object], int] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lagoon.operators import joins as J
 from lagoon.operators.calendar import decision_session, deferred, next_session
 from lagoon.plans.registry import query
-from lagoon.plans.tables import BARS, RETURNS, bars, returns, sectors, table
+from lagoon.plans.tables import RETURNS, returns, sectors, table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
