@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from math import exp, log, log1p, sqrt
+from math import exp, log1p, sqrt
 
 import ahocorasick
 import numpy as np
