@@ -142,7 +142,9 @@ def near_links(distinct: DataFrame, radius: int = 3, tile_rows: int = 1024) -> D
     groups = ["choice", "bits", "count", "up", "s", "t"]
     cells = dealt.select("fp", "choice", "bits", "p.*")
     blocks = cells.groupBy(*groups).agg(F.collect_list(F.when(F.col("first"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("second"), F.col("fp"))).alias("right"))
-    blocks = blocks.where((F.size("left") > 0) & (F.size("right") > 0) & (F.size("left") + F.size("right") > 2))
+    # a cell that meets itself has each fingerprint on both sides, and needs two of them; any other one a side
+    itself = (F.col("up") == 0) & (F.col("s") == F.col("t"))
+    blocks = blocks.where((F.size("left") > 0) & (F.size("right") > 0) & (~itself | (F.size("left") > 1)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

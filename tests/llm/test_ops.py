@@ -202,6 +202,16 @@ def test_simhash_large_blocks_and_lanes(spark):
         assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in expect.values() if len(g) > 1)
 
 
+def test_simhash_lone_pair_in_a_large_block(spark):
+    rng = random.Random(12)
+    # one lane is shared by all; the pair is 3 bits apart, one in each other lane, with the least bit counts of the block
+    crowd = {0xABCD | sum(1 << b for b in rng.sample(range(16, 64), 24)) for _ in range(100)}
+    pair = (0xABCD, 0xABCD | 1 << 20 | 1 << 40 | 1 << 60)
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in (*crowd, *pair)], "fp bigint").cache()
+    for rows in (8, 32):
+        assert pair in {(r["a"], r["b"]) for r in simhash.near_links(df, 3, tile_rows=rows).collect()}
+
+
 def test_lanes_follow_the_table():
     assert simhash.lane_count(10**5, 3) == 4 and simhash.lane_count(10**12, 3) > simhash.lane_count(10**9, 3) > 4
 
