@@ -10,7 +10,7 @@ from lagoon.operators import aggs as A
 from lagoon.operators import panel as P
 from lagoon.operators import portfolio as B
 from lagoon.operators import select as S
-from lagoon.plans.registry import query
+from lagoon.plans.registry import ORACLES, query
 from lagoon.plans.tables import RETURNS, returns, table
 
 #: r ranked by the week before as the score, this week's relative return as the target.
@@ -411,10 +411,18 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem, q WHERE l_orderkey % 8 = 0 AND l_quantity <> 25""",
 )
 def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return _projected(table(spark, sf_dir, "lineitem"), "l_orderkey % 8 = 0 and l_quantity <> 25")
+
+
+@query("p4_p18_projections_whole", ORACLES["p4_p18_projections"].replace("l_orderkey % 8 = 0 AND ", ""))
+def projections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projected(table(spark, sf_dir, "lineitem"), "l_quantity <> 25")
+
+
+def _projected(li: DataFrame, rows: str) -> DataFrame:
     q = li.where("l_shipdate < timestamp '1996-01-01'").agg(F.percentile("l_extendedprice", 0.01).alias("lo"), F.percentile("l_extendedprice", 0.99).alias("hi"))
-    x = li.where("l_orderkey % 8 = 0 and l_quantity <> 25").join(F.broadcast(q))
-    codes = li.where("l_orderkey % 8 = 0 and l_quantity <> 25").select("l_returnflag").distinct().withColumn("code", (F.row_number().over(Window.orderBy("l_returnflag")) - 1).cast("int"))
+    x = li.where(rows).join(F.broadcast(q))
+    codes = li.where(rows).select("l_returnflag").distinct().withColumn("code", (F.row_number().over(Window.orderBy("l_returnflag")) - 1).cast("int"))
     split = F.when(F.col("l_shipdate") < F.lit("1996-01-01"), "train").when(F.col("l_shipdate") < F.lit("1997-06-01"), "validation").otherwise("test")
     safe = X.safe_ratio(F.col("l_extendedprice") / 1024 - 30, F.col("l_quantity") - 25)
     return x.join(F.broadcast(codes), "l_returnflag").select(

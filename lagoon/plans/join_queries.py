@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators import joins as J
 from lagoon.operators.calendar import decision_session, deferred, next_session
-from lagoon.plans.registry import query
+from lagoon.plans.registry import ORACLES, query
 from lagoon.plans.tables import RETURNS, returns, sectors, table
 
 
@@ -61,9 +61,17 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS day, (SELECT min(d) FROM s WHERE d > CAST(l_shipdate AS DATE)) AS trade_date FROM lineitem WHERE l_orderkey % 16 = 0""",
 )
 def following_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _following(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0"))
+
+
+def _following(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
     s = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).where("weekday(d) < 5").distinct()
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("day"))
-    return next_session(li, "day", s, "d")
+    return next_session(li.select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("day")), "day", s, "d")
+
+
+@query("j5_j6_next_session_whole", ORACLES["j5_j6_next_session"].replace(" WHERE l_orderkey % 16 = 0", ""))
+def following_session_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _following(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
 @query(
@@ -189,11 +197,19 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, n_nationkey FROM o JOIN v ON d >= a AND (b IS NULL OR d <= b)""",
 )
 def bucketed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0"))
+
+
+@query("j16_bucketed_interval_join_whole", ORACLES["j16_bucketed_interval_join"].replace(" WHERE o_orderkey % 8 = 0", ""))
+def bucketed_intervals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _bucketed(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
     begin = F.date_add(F.lit("1992-01-01").cast("date"), n * 60)
     v = table(spark, sf_dir, "nation").select("n_nationkey", begin.alias("a"), F.when(n % 5 > 0, F.date_add(begin, 400)).alias("b"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return J.interval_join(o, v, [], "d", "a", "b").select("o_orderkey", "n_nationkey")
+    return J.interval_join(o.select("o_orderkey", F.to_date("o_orderdate").alias("d")), v, [], "d", "a", "b").select("o_orderkey", "n_nationkey")
 
 
 @query(
@@ -240,8 +256,19 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumnRenamed("day", "d")
-    a = e.where("event_id % 3 = 0").groupBy("d", "user_id").agg(F.sum("value").alias("x"))
-    b = e.where("event_id % 5 = 0").groupBy("d", "user_id").agg(F.count(F.lit(1)).alias("y"))
+    return _merged(e.where("event_id % 3 = 0"), e.where("event_id % 5 = 0"))
+
+
+@query("j23_full_outer_merge_whole", ORACLES["j23_full_outer_merge"].replace("event_id % 5 = 0", "event_id % 3 <> 0"))
+def merged_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # two feeds of which each event enters one
+    e = _events(spark, sf_dir).withColumnRenamed("day", "d")
+    return _merged(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"))
+
+
+def _merged(summed: DataFrame, counted: DataFrame) -> DataFrame:
+    a = summed.groupBy("d", "user_id").agg(F.sum("value").alias("x"))
+    b = counted.groupBy("d", "user_id").agg(F.count(F.lit(1)).alias("y"))
     return J.checked_join(a, b, ["d", "user_id"], "full_outer", "one_to_one").na.fill(0).withColumn("x", F.round("x", 6))
 
 

@@ -11,7 +11,7 @@ from lagoon.operators import ingest as I
 from lagoon.operators import models as M
 from lagoon.operators import search as Q
 from lagoon.operators import text as T
-from lagoon.plans.registry import query
+from lagoon.plans.registry import ORACLES, query
 from lagoon.plans.tables import RETURNS, returns, table
 
 
@@ -184,7 +184,15 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o_orderkey, CAST(i AS INTEGER) AS place, l_partkey AS part, l_quantity AS qty FROM (SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i, l_partkey, l_quantity FROM lineitem WHERE l_orderkey < 500)""",
 )
 def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    return _json_shapes(table(spark, sf_dir, "lineitem").where("l_orderkey < 500"))
+
+
+@query("s6_s7_json_shapes_whole", ORACLES["s6_s7_json_shapes"].replace(" WHERE l_orderkey < 500", "").replace("l_linenumber, l_partkey)", "l_linenumber, l_partkey, l_quantity)"))
+def json_shapes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _json_shapes(table(spark, sf_dir, "lineitem"))
+
+
+def _json_shapes(li: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
     packed = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(items.alias("x")).select("o_orderkey", F.to_json(F.struct(F.col("x.l_partkey").alias("part"), F.col("x.l_quantity").alias("qty"))).alias("payload"))
     return I.columnar_rows(packed, "o_orderkey", "payload", "part array<bigint>, qty array<double>")
@@ -305,7 +313,7 @@ def alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m3_boosted_trees")
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", F.log("l_extendedprice").alias("t"), "l_shipdate").where("l_orderkey < 3000")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", F.log("l_extendedprice").alias("t"), "l_shipdate")
     model = M.boosted_trees(li.where(F.col("l_shipdate") < F.lit("1997-01-01")), ["l_quantity", "l_discount"], "t", 5, 3)
     return model.transform(li.where(F.col("l_shipdate") >= F.lit("1997-01-01"))).select("l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 6).alias("prediction"))
 
