@@ -162,3 +162,10 @@ def band_pairs(df: DataFrame, key: str, fingerprint: str, size: str, bands: int
     near = (F.bit_count(F.col("a.__f").bitwiseXOR(F.col("b.__f"))) <= radius) & (F.least("a.__n", "b.__n") >= least_ratio * F.greatest("a.__n", "b.__n"))
     hit = a.join(b, (F.col("a.__band") == F.col("b.__band")) & (F.col("a.__bits") == F.col("b.__bits")) & (F.col("b.__key") < F.col("a.__key"))).where(near)
     return hit.select(F.col("a.__key").alias(key), F.col("b.__key").alias("lower")).distinct()
+
+
+def band_classes(df: DataFrame, key: str, fingerprint: str, size: str) -> DataFrame:
+    """(key, representative): the least key of the same fingerprint and size, the one that `band_pairs` compares."""
+    least = df.groupBy(F.col(fingerprint).alias("__f"), F.col(size).alias("__n")).agg(F.min(key).alias("representative"))
+    d = df.select(key, F.col(fingerprint).alias("__f"), F.col(size).alias("__n"))
+    return d.join(least, ["__f", "__n"]).select(key, "representative")

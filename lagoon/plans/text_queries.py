@@ -86,6 +86,20 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_pairs(d, "doc_id", "f", "n_chars")
 
 
+@query("j21_text_pairs")
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs of fingerprint classes by the whole text (doc_id, lower), and of every other member the
+    class's least doc_id (doc_id, representative)."""
+    from lagoon.operators.joins import band_classes, band_pairs
+
+    _dir(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", T.words("text").alias("w"))
+    d = d.drop("w").join(T.simhashes(d, "doc_id", T.word_shingles("w"), "f"), "doc_id").checkpoint()
+    pairs = band_pairs(d, "doc_id", "f", "n_chars").select("doc_id", "lower", F.lit(None).cast("bigint").alias("representative"))
+    members = band_classes(d, "doc_id", "f", "n_chars").where("representative < doc_id").select("doc_id", F.lit(None).cast("bigint").alias("lower"), "representative")
+    return pairs.unionByName(members)
+
+
 @query("x18_chunks")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "tokens", F.sha2("chunk", 256).alias("chunk_hash"))

@@ -164,6 +164,31 @@ def test_roots_are_not_components(spark):
     assert got == {0: (None, 0), 1: (0, 0), 2: (1, 0), 3: (None, 3), 9: (3, 3)}
 
 
+def test_text_pairs_against_brute_force(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(600)]
+    rows = [(1, "other start " + " ".join(base)), (2, " ".join(base)), (3, " ".join(base).upper())]
+    for k in range(4, 12):
+        w = list(base)
+        w[rng.randrange(600)] = "changed"
+        rows.append((k, " ".join(w)))
+    rows += [(20 + k, " ".join(base[:3] + [f"v{rng.randrange(500)}" for _ in range(597)])) for k in range(3)]
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id bigint, text string, n_chars bigint")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    fps = {r["doc_id"]: r["f"] & (2**64 - 1) for r in text.simhashes(df, "doc_id", text.word_shingles(text.words("text")), "f").collect()}
+    size = {k: len(t) for k, t in rows}
+    rep = {k: min(j for j in fps if (fps[j], size[j]) == (fps[k], size[k])) for k in fps}
+    reps = sorted(set(rep.values()))
+    want = {(b, a, None) for a in reps for b in reps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3 and min(size[a], size[b]) >= 0.85 * max(size[a], size[b])}
+    want |= {(k, None, r) for k, r in rep.items() if r < k}
+    got = [tuple(r) for r in entry.queries()["j21_text_pairs"](spark, str(tmp_path)).select("doc_id", "lower", "representative").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (3, None, 2) in want and any(r[1] for r in want)
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "apple pie", "the apple"), (2, "pear", "apple apple pear"), (3, "none", "plum")], "k int, title string, body string")
     index = search.postings(df, "k", {"title": 3.0, "body": 1.0})
