@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagoon.operators.joins import band_pairs
+from lagoon.operators.joins import band_classes, band_pairs
 
 
 def words(x: Column | str) -> Column:
@@ -107,16 +107,21 @@ def word_shingles(w: Column | str, n: int = 4) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array(F.array_join(w, " ")))
 
 
-def canonical_roots(df: DataFrame, key: str, digest: Column, fingerprint: str, size: str, eligible: Column, radius: int = 3, least_ratio: float = 0.85, rounds: int = 30) -> DataFrame:
-    """(key, parent, root): the parent is the least earlier exact copy, else the least earlier eligible
-    near-duplicate; the root is where parents end.
+def canonical_roots(df: DataFrame, key: str, digest: Column, fingerprint: str, size: str, eligible: Column, radius: int = 3, least_ratio: float = 0.85, rounds: int = 30, candidate: Column | None = None) -> DataFrame:
+    """(key, parent, root): the parent is the least earlier exact copy, else, for eligible rows, the least
+    earlier candidate that is a near-duplicate, equal fingerprints included; the root is where parents end.
+
+    candidate: rows that can be near parents, all eligible ones among them; the eligible ones if not given.
 
     Only lower keys can be parents, so it is a forest: pointer jumping halves the depth each round.
     Closing the pairs transitively would merge more. Copies of one fingerprint are compared once.
     """
     exact = exact_parents(df.select(key, digest.alias("__d")), key, F.col("__d")).select(key, F.col("canonical").alias("__e"))
-    near = band_pairs(df.where(eligible), key, fingerprint, size, 4, radius, least_ratio)
-    near = near.groupBy(key).agg(F.min("lower").alias("__n"))
+    some = df.where(eligible if candidate is None else candidate)
+    near = band_pairs(some, key, fingerprint, size, 4, radius, least_ratio).groupBy(F.col(key).alias("representative")).agg(F.min("lower").alias("__lower"))
+    # a row's near keys below it are its representative and what that one is near
+    near = band_classes(some, key, fingerprint, size).join(near, "representative", "left").select(key, F.least("__lower", F.when(F.col("representative") < F.col(key), F.col("representative"))).alias("__n"))
+    near = near.where("__n is not null").join(df.where(eligible).select(key), key, "left_semi")
     links = exact.join(near, key, "left").select(key, F.coalesce("__e", "__n").alias("parent"))
     state = links.withColumn("root", F.coalesce("parent", key)).checkpoint()
     for _ in range(rounds):

@@ -70,7 +70,8 @@ def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = T.clean_articles(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     d = d.select("doc_id", "clean_words", "quality_status", T.words("cleaned").alias("w")).select("*", F.sha2(F.array_join("w", " "), 256).alias("h")).checkpoint()
     d = d.join(T.simhashes(d, "doc_id", T.word_shingles("w"), "fp"), "doc_id").drop("w").checkpoint()
-    roots = T.canonical_roots(d, "doc_id", F.col("h"), "fp", "clean_words", (F.col("quality_status") == "usable") & (F.col("clean_words") >= 100))
+    usable = F.col("quality_status") == "usable"
+    roots = T.canonical_roots(d, "doc_id", F.col("h"), "fp", "clean_words", usable & (F.col("clean_words") >= 100), candidate=usable)
     return roots.join(d.select("doc_id", "quality_status", "clean_words"), "doc_id").select("doc_id", "parent", "root", "quality_status", "clean_words")
 
 

@@ -164,6 +164,22 @@ def test_roots_are_not_components(spark):
     assert got == {0: (None, 0), 1: (0, 0), 2: (1, 0), 3: (None, 3), 9: (3, 3)}
 
 
+def test_roots_of_equal_fingerprints_and_other_digests(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir")) if spark.sparkContext.getCheckpointDir() is None else None
+    far = 0x0F0F0F0F00000000
+    # 1-3 share a fingerprint and a size; 7 is near 6 of its own and the lower 5; 20 is short and only a parent
+    rows = [(1, far, 200), (2, far, 200), (3, far, 200), (5, 0b1, 200), (6, 0b11, 200), (7, 0b11, 200), (8, 0b11, 90), (20, 7 << 40, 95), (21, 7 << 40, 100), (22, 7 << 40, 95)]
+    df = spark.createDataFrame([(k, f, n, f"h{k}") for k, f, n in rows], "k int, f bigint, n int, h string")
+    long = F.col("n") >= 100
+    got = {r["k"]: (r["parent"], r["root"]) for r in text.canonical_roots(df, "k", F.col("h"), "f", "n", long, candidate=F.lit(True)).collect()}
+    want = {}
+    for k, f, n in rows:
+        near = [j for j, g, m in rows if j < k and (f ^ g).bit_count() <= 3 and min(n, m) >= 0.85 * max(n, m)] if n >= 100 else []
+        parent = min(near, default=None)
+        want[k] = (parent, k if parent is None else want[parent][1])
+    assert got == want and want[2] == (1, 1) and want[7] == (5, 5) and want[21] == (20, 20)
+
+
 def test_text_pairs_against_brute_force(spark, tmp_path):
     import random
 
