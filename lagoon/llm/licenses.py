@@ -21,14 +21,15 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Families: label, a keyword any mention has, patterns of its names, identifiers, versions.
+#: Families: label, a keyword any mention has, patterns of its names (a pair where a pattern has another
+#: keyword), identifiers, versions. A rule is tried only on texts with its keyword: every match must contain it.
 FAMILIES = [
     ("agpl", "affero", [r"gnu affero general public licen[sc]e", r"affero general public licen[sc]e"], ["agpl"], ["3 0", "3", "1 0"]),
-    ("lgpl", "lesser", [r"gnu (?:lesser|library) general public licen[sc]e", r"lesser general public licen[sc]e"], ["lgpl"], ["3 0", "3", "2 1", "2 0", "2"]),
+    ("lgpl", "lesser", [(r"gnu (?:lesser|library) general public licen[sc]e", "gnu"), r"lesser general public licen[sc]e"], ["lgpl"], ["3 0", "3", "2 1", "2 0", "2"]),
     ("gpl", "gnu", [r"gnu general public licen[sc]e", r"gnu public licen[sc]e"], ["gpl"], ["3 0", "3", "2 0", "2", "1 0"]),
     ("gfdl", "documentation", [r"gnu free documentation licen[sc]e"], ["gfdl"], ["1 3", "1 2", "1 1"]),
     ("apache", "apache", [r"apache (?:software )?licen[sc]e", r"apache software foundation licen[sc]e"], ["apache", "asl"], ["2 0", "2", "1 1", "1 0"]),
-    ("mit", "mit", [r"mit licen[sc]e", r"mit x11 licen[sc]e", r"expat licen[sc]e"], ["mit", "mit 0"], []),
+    ("mit", "mit", [r"mit licen[sc]e", r"mit x11 licen[sc]e", (r"expat licen[sc]e", "expat")], ["mit", "mit 0"], []),
     ("bsd", "bsd", [r"(?:[234] clause |new |modified |simplified |revised )?bsd licen[sc]e", r"bsd style licen[sc]e"], ["bsd", "0bsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause"], []),
     ("mpl", "mozilla", [r"mozilla public licen[sc]e"], ["mpl"], ["2 0", "1 1", "1 0"]),
     ("epl", "eclipse", [r"eclipse public licen[sc]e"], ["epl"], ["2 0", "1 0"]),
@@ -40,11 +41,11 @@ FAMILIES = [
     ("isc", "isc", [r"isc licen[sc]e"], ["isc"], []),
     ("zlib", "zlib", [r"zlib(?: libpng)? licen[sc]e"], ["zlib"], []),
     ("unlicense", "unlicense", [r"the unlicense"], ["unlicense"], []),
-    ("wtfpl", "wtfpl", [r"do what the f\w* you want to public licen[sc]e"], ["wtfpl"], ["2"]),
+    ("wtfpl", "wtfpl", [(r"do what the f\w* you want to public licen[sc]e", "want")], ["wtfpl"], ["2"]),
     ("python", "python", [r"python software foundation licen[sc]e", r"python licen[sc]e"], ["psf", "python"], ["2 0", "2"]),
     ("php", "php", [r"php licen[sc]e"], ["php"], ["3 01", "3 0"]),
     ("ofl", "font", [r"(?:sil )?open font licen[sc]e"], ["ofl"], ["1 1", "1 0"]),
-    ("odbl", "database", [r"open database licen[sc]e", r"open data commons(?: open database licen[sc]e)?"], ["odbl"], ["1 0"]),
+    ("odbl", "database", [r"open database licen[sc]e", (r"open data commons(?: open database licen[sc]e)?", "data")], ["odbl"], ["1 0"]),
     ("ms-pl", "microsoft", [r"microsoft public licen[sc]e", r"microsoft reciprocal licen[sc]e"], ["ms pl", "ms rl"], []),
     ("openssl", "openssl", [r"openssl licen[sc]e"], ["openssl"], []),
     ("postgresql", "postgresql", [r"postgresql licen[sc]e"], ["postgresql"], []),
@@ -54,7 +55,7 @@ FAMILIES = [
     ("cc-by-sa", "creative", [r"creative commons attribution share ?alike"], ["cc by sa"], ["4 0", "3 0", "2 5", "2 0"]),
     ("cc-by-nd", "creative", [r"creative commons attribution no ?deriv\w*"], ["cc by nd"], ["4 0", "3 0", "2 5", "2 0"]),
     ("cc-by", "creative", [r"creative commons attribution"], ["cc by"], ["4 0", "3 0", "2 5", "2 0"]),
-    ("cc0", "cc0", [r"cc0", r"creative commons zero"], ["cc0"], ["1 0"]),
+    ("cc0", "cc0", [r"cc0", (r"creative commons zero", "creative")], ["cc0"], ["1 0"]),
 ]
 
 #: How a license is granted or named around its name, with priority: NAME stands for a name and its version.
@@ -82,9 +83,10 @@ def signatures() -> list[Signature]:
     for label, keyword, names, ids, versions in FAMILIES:
         number = "|".join(re.escape(v).replace(r"\ ", " ") for v in versions)
         version = rf"(?: (?:version |v ?)?(?:{number}))?(?: or (?:any )?later(?: version)?)?(?: international| unported)?" if versions else ""
-        for name in names:
+        for entry in names:
+            name, word = (entry, keyword) if isinstance(entry, str) else entry
             for frame, priority in FRAMES:
-                made.append((label, keyword, frame.replace("NAME", name + version), priority))
+                made.append((label, word, frame.replace("NAME", name + version), priority))
         for short in ids:
             first = short.split()[0]
             made.append((label, "spdx", rf"spdx licen[sc]e identifier {short}{version}(?: only)?", 100))
@@ -95,7 +97,7 @@ def signatures() -> list[Signature]:
     made += [
         ("all-rights-reserved", "rights", r"all rights reserved", 40),
         ("proprietary", "proprietary", r"proprietary and confidential", 45),
-        ("proprietary", "licensed", r"may not be (?:copied|distributed|reproduced) without", 45),
+        ("proprietary", "without", r"may not be (?:copied|distributed|reproduced) without", 45),
         ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", 70),
         ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 30),
     ]

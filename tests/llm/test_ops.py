@@ -280,6 +280,48 @@ def test_licenses(spark):
     assert len(table) > 200 and licenses.license_scan(docs(spark, [])).count() == 0
 
 
+def mention(rng, parsed):
+    """A text that a parsed regular expression matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            one = rng.choice(arg)
+            out += chr(one[1]) if str(one[0]) == "LITERAL" else "1"
+        elif op == "BRANCH":
+            out += mention(rng, rng.choice(arg[1]))
+        elif op == "SUBPATTERN":
+            out += mention(rng, arg[3])
+        elif op == "MAX_REPEAT":
+            out += "".join(mention(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_every_mention_of_a_license_has_its_keyword():
+    import re
+
+    rng = random.Random(4)
+    for rule in licenses.signatures():
+        for _ in range(20):
+            text = mention(rng, re._parser.parse(rule.regex))
+            assert re.search(rule.regex, f" {text} "), (rule, text)
+            assert rule.keyword in text.split() and set(text.split()) & set(licenses.ADMITTING), (rule, text)
+
+
+def test_licenses_without_a_gate(spark):
+    import re
+
+    rows = [(30, "the GNU Library General Public License"), (31, "Expat License"), (32, "Creative Commons Zero"), (33, "Open Data Commons"), (34, "Do What The Fun You Want To Public License"), (35, "may not be copied without")]
+    for r in licenses.license_scan(docs(spark, rows)).collect():
+        norm = f" {dict(rows)[r['doc_id']].lower()} "
+        want = {x.label for x in licenses.signatures() if re.search(x.regex, norm)}
+        assert want and set(r["labels"].split(",")) == want and r["score"] > 0, r
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(WORD)
     got = pack(docs(spark), WORD, capacity=256).collect()
