@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagoon.operators.aggs import frequent_edges
 from lagoon.operators.joins import band_classes, band_pairs
 
 
@@ -162,9 +163,10 @@ def clean_paragraphs(paragraphs: Sequence[str], boilerplate: frozenset[str] = fr
     return kept
 
 
-def clean_articles(df: DataFrame, text: str, delimiter: str = "\n", least_words: int = 80) -> DataFrame:
+def clean_articles(df: DataFrame, text: str, delimiter: str = "\n", least_words: int = 80, boilerplate: str | None = None) -> DataFrame:
     """Adds cleaned, clean_words, quality_score and quality_status (usable, short, empty).
 
+    boilerplate: a column of paragraph keys; paragraphs with one of them are left out, in their place an empty one.
     The order-dependent part is one Arrow batch function over the text; the rest are expressions.
     """
 
@@ -172,13 +174,34 @@ def clean_articles(df: DataFrame, text: str, delimiter: str = "\n", least_words:
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([delimiter.join(clean_paragraphs((t or "").split(delimiter))) for t in texts], dtype="object")
 
-    out = df.withColumn("cleaned", cleaned(F.col(text)))
+    body = F.col(text)
+    if boilerplate is not None:
+        known = F.coalesce(F.col(boilerplate), F.array().cast("array<string>"))
+        body = F.when(F.size(known) == 0, body).otherwise(F.array_join(F.transform(F.split(body, re.escape(delimiter)), lambda p: F.when(F.array_contains(known, paragraph_key(p)), "").otherwise(p)), delimiter))
+    out = df.withColumn("cleaned", cleaned(body))
     out = out.withColumn("clean_words", F.size(words("cleaned")).cast("bigint"))
     kept = F.try_divide(F.length("cleaned"), F.length(text))
     out = out.withColumn("quality_score", F.coalesce(F.least(F.lit(1.0), F.col("clean_words") / 400.0) * 0.7 + 0.3 * kept, F.lit(0.0)))
     return out.withColumn("quality_status", F.when(F.col("clean_words") == 0, "empty").when(F.col("clean_words") < least_words, "short").otherwise("usable"))
 
 
+def learned_boilerplate(df: DataFrame, key: str, domain: str, text: str, delimiter: str = "\n", low: int = 40, high: int = 500) -> DataFrame:
+    """(domain, boilerplate): the keys of the paragraphs that many documents of a domain have at an edge.
+
+    Only paragraphs of `low` to `high` characters are looked at, as if there were no others.
+    """
+    some = F.filter(F.split(text, re.escape(delimiter)), lambda p: F.length(p).between(low, high))
+    found = frequent_edges(df, key, domain, F.transform(some, paragraph_key), low=1, high=2 * high)
+    return found.groupBy(domain).agg(F.collect_set("paragraph").alias("boilerplate"))
+
+
+def reject_repeated_pages(df: DataFrame, domain: str, digest: str, status: str = "quality_status", least: int = 3) -> DataFrame:
+    """Rows with status rejected if a domain has their digest `least` times or more; empty ones stay as they are."""
+    many = df.where(F.col(status) != "empty").groupBy(domain, digest).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    out = df.join(many, [domain, digest], "left")
+    return out.withColumn(status, F.when(F.col("__n").isNotNull() & (F.col(status) != "empty"), "rejected").otherwise(F.col(status))).drop("__n")
+
+
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 

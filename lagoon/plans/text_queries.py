@@ -67,12 +67,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x16_clean_dedup_corpus")
 def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _dir(spark)
-    d = T.clean_articles(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    d = d.select("doc_id", "clean_words", "quality_status", T.words("cleaned").alias("w")).select("*", F.sha2(F.array_join("w", " "), 256).alias("h")).checkpoint()
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = T.clean_articles(d.join(T.learned_boilerplate(d, "doc_id", "source", "text"), "source", "left"), "text", boilerplate="boilerplate")
+    d = d.select("doc_id", "source", "clean_words", "quality_status", T.words("cleaned").alias("w")).select("*", F.sha2(F.array_join("w", " "), 256).alias("h")).checkpoint()
     d = d.join(T.simhashes(d, "doc_id", T.word_shingles("w"), "fp"), "doc_id").drop("w").checkpoint()
     usable = F.col("quality_status") == "usable"
     roots = T.canonical_roots(d, "doc_id", F.col("h"), "fp", "clean_words", usable & (F.col("clean_words") >= 100), candidate=usable)
-    return roots.join(d.select("doc_id", "quality_status", "clean_words"), "doc_id").select("doc_id", "parent", "root", "quality_status", "clean_words")
+    return roots.join(T.reject_repeated_pages(d, "source", "h"), "doc_id").select("doc_id", "parent", "root", "quality_status", "clean_words")
 
 
 @query(

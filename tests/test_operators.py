@@ -180,6 +180,20 @@ def test_roots_of_equal_fingerprints_and_other_digests(spark):
     assert got == want and want[2] == (1, 1) and want[7] == (5, 5) and want[21] == (20, 20)
 
 
+def test_corpus_without_boilerplate_and_repeated_pages(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    foot = "Sign the petition of our paper number {} and see https://x.org/{} today"
+    body = lambda k: " ".join(f"w{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(120))
+    rows = [(k, "hot", f"{body(k)}\n{foot.format(k, k)}") for k in range(6)] + [(6, "cold", f"{body(6)}\n{foot.format(6, 6)}")]
+    rows += [(k, "dead", body(7)) for k in (10, 11, 12)] + [(k, "twice", body(8)) for k in (13, 14)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in entry.queries()["x16_clean_dedup_corpus"](spark, str(tmp_path)).collect()}
+    assert {k: r["clean_words"] for k, r in got.items() if k < 6} == dict.fromkeys(range(6), 120) and got[6]["clean_words"] > 120
+    assert {k for k, r in got.items() if r["quality_status"] == "rejected"} == {10, 11, 12}
+    assert got[12]["root"] == 10 and got[14]["root"] == 13 and len(got) == len(rows)
+
+
 def test_text_pairs_against_brute_force(spark, tmp_path):
     import random
 
