@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -226,7 +227,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius
     by_id = materialise(found.groupBy(id_col).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
     kept = keep_rows(docs, by_id.where("not stays").select(id_col), id_col, anti=True)
     if found.where(F.col(id_col).isNull() & F.col("component_id").isNotNull()).limit(1).count():
-        kept = kept.where(F.col(id_col).isNotNull())
+        # null ids cannot be joined by: those rows are looked up by their fingerprint, which has one component
+        gone = materialise(found.where(F.col(id_col).isNull() & F.col("component_id").isNotNull()).select(F.col("fingerprint").alias("__fp")).distinct())
+
+        @F.pandas_udf(T.StringType())
+        def hexed(texts: pd.Series) -> pd.Series:
+            return pd.Series([f"{fingerprint(t, words, seed):016x}" for t in texts], dtype="object")
+
+        nameless = kept.where(F.col(id_col).isNull()).withColumn("__fp", hexed(text_or_empty(text_col)))
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(keep_rows(nameless, gone, "__fp", anti=True).drop("__fp"))
     repeated = by_id.where("stays and n > 1").select(id_col)
     if repeated.limit(1).count():
         kept = keep_rows(kept, repeated, id_col, anti=True).unionByName(keep_rows(kept, repeated, id_col).dropDuplicates([id_col]))

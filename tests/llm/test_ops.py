@@ -212,6 +212,13 @@ def test_simhash_lone_pair_in_a_large_block(spark):
         assert pair in {(r["a"], r["b"]) for r in simhash.near_links(df, 3, tile_rows=rows).collect()}
 
 
+def test_null_ids_go_one_by_one(spark):
+    rows = [(1, "one long text of some words"), (None, "one long text of some words"), (None, "quite another thing, seen once"), (None, None)]
+    kept = simhash.drop_near_duplicates(docs(spark, rows))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", rows[0][1]), ("None", "None"), ("None", rows[2][1])]
+    assert kept.columns == docs(spark).columns
+
+
 def test_lanes_follow_the_table():
     assert simhash.lane_count(10**5, 3) == 4 and simhash.lane_count(10**12, 3) > simhash.lane_count(10**9, 3) > 4
 
