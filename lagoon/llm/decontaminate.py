@@ -7,17 +7,20 @@ diagonals; regions that reach the bound are verified by a banded alignment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lagoon.llm.common import row_slices, text_or_empty
+from lagoon.llm.common import materialise, row_slices, text_or_empty
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 END = 0x110000  # no character: stands between texts
@@ -114,13 +117,25 @@ class Passages:
     q: int
 
     @staticmethod
-    def build(ids: list, texts: list[str], q: int, rate: float, table_bits: int = 22) -> Passages:
+    def tiers(ids: list, texts: list[str], q: int, rate: float, table_bits: int = 22) -> list[Passages]:
+        """Indexes that hold each passage once, with grams short enough for its edit budget.
+
+        The bound m - q + 1 - k q is above 0 for q <= m / (k + 1) only: most passages take `q`, shorter
+        ones less, and one without edits at most its own length. Passages without characters have no place.
+        """
         codes = [normalise(t)[0] for t in texts]
         codes = [c[np.argmax(c != 32) :] if (c != 32).any() else c[:0] for c in codes]
         codes = [c[: len(c) - np.argmax(c[::-1] != 32)] if len(c) else c for c in codes]
-        size = np.array([len(c) for c in codes], np.int64)
-        edits = np.floor(rate * size + 1e-9).astype(np.int64)
-        edits = np.maximum(0, np.minimum(edits, (size - q) // q))
+        budget = [int(rate * len(c) + 1e-9) for c in codes]
+        grams: dict[int, list[int]] = {}
+        for i, (c, k) in enumerate(zip(codes, budget, strict=True)):
+            if len(c):
+                grams.setdefault(max(1, min(q, len(c) // (k + 1))), []).append(i)
+        return [Passages.build([ids[i] for i in some], [codes[i] for i in some], [budget[i] for i in some], size, table_bits if size == q else 16) for size, some in sorted(grams.items(), reverse=True)]
+
+    @staticmethod
+    def build(ids: list, codes: list[np.ndarray], budget: list[int], q: int, table_bits: int) -> Passages:
+        size, edits = np.array([len(c) for c in codes], np.int64), np.array(budget, np.int64)
         need = size - q + 1 - edits * q
         grams = [gram_hashes(c, q) for c in codes]
         all_h = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -130,7 +145,9 @@ class Passages:
         hashes, first = np.unique(all_h[order], return_index=True)
         seen = np.zeros(1 << table_bits, bool)
         seen[hashes >> np.uint64(64 - table_bits)] = True
-        return Passages(ids, codes, edits, need, hashes, np.append(first, len(order)), item[order], place[order], seen, q)
+        # half the width where it will do: each Python worker holds an index
+        slim = lambda x: x.astype(np.int32) if len(all_h) < 2**31 else x
+        return Passages(ids, codes, edits, need, hashes, slim(np.append(first, len(order))), slim(item[order]), slim(place[order]), seen, q)
 
     def regions(self, code: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int, int]]:
         """(passage, first diagonal, last diagonal) of the bands that reach their bound."""
@@ -142,7 +159,9 @@ class Passages:
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[k] == h[at]
         at, k = at[hit], k[hit]
-        many = self.first[k + 1] - self.first[k]
+        if not len(at):
+            return []
+        many = (self.first[k + 1] - self.first[k]).astype(np.int64)
         ends = np.cumsum(many)
         cells: list[tuple[np.ndarray, np.ndarray]] = []
         stride, shift = self.edits + 1, max((len(c) for c in self.codes), default=0)
@@ -151,8 +170,8 @@ class Passages:
         while done < len(at):
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, side="right")))
             some = many[done:upto]
-            post = np.repeat(self.first[k[done:upto]] - (np.cumsum(some) - some), some) + np.arange(some.sum())
-            item = self.item[post]
+            post = np.repeat(self.first[k[done:upto]].astype(np.int64) - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            item = self.item[post].astype(np.int64)
             diagonal = np.repeat(at[done:upto], some) - self.place[post] + shift
             cells.append(np.unique(item * span + diagonal // stride[item], return_counts=True))
             done = upto
@@ -211,7 +230,12 @@ class Passages:
             while (at := raw.find(wanted, at + 1)) >= 0:
                 if at % 4 == 0:
                     equal.add(a + at // 4)
+        if not k:  # no edit allowed; so short a passage counts as whole words only
+            edge = lambda at: not 0 <= at < len(text) or not (chr(int(text[at])).isalnum())
+            equal = {s for s in equal if edge(s - 1) and edge(s + size)}
         found = {(0, s, s + size) for s in equal}
+        if not k:
+            bands = []
         for low, high in bands:
             if any(low - k + size - k > s and high + k < s + size for s in equal):
                 continue
@@ -240,54 +264,73 @@ def passage_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars
         yield ids, texts
 
 
-def indexes(benchmark: DataFrame, q: int, rate: float, block_chars: int, id_col: str = "item_id", text_col: str = "text") -> list:
-    """A broadcast index for each block of the benchmark; each is of bounded size."""
+class Index:
+    """Passages in blocks: the tiers of all blocks of one pass over the documents."""
+
+    def __init__(self, blocks: list[list[Passages]]):
+        self.parts = [tier for block in blocks for tier in block]
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, object, int, int, int, int]]:
+        """(row, passage id, begin, end, edits, passage characters) of every region found in the texts."""
+        for p in self.parts:
+            for row, i, begin, end, cost in p.matches(texts):
+                yield row, p.ids[i], begin, end, cost, len(p.codes[i])
+
+
+def passes(benchmark: DataFrame, q: int, rate: float, block_chars: int, pass_blocks: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Broadcast, bool]]:
+    """A broadcast index for each pass over the documents, and whether more follow.
+
+    A pass holds `pass_blocks` blocks at most, so a worker's memory does not grow with the benchmark: some
+    30 bytes a character of them. The index of one pass is destroyed when the next one is asked for.
+    """
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Passages.build(i, t, q, rate)) for i, t in passage_blocks(benchmark, id_col, text_col, block_chars)]
+    blocks = passage_blocks(benchmark, id_col, text_col, block_chars)
+    some = list(islice(blocks, pass_blocks))
+    while some:
+        held = sc.broadcast(Index([Passages.tiers(i, t, q, rate) for i, t in some]))
+        some = list(islice(blocks, pass_blocks))
+        yield held, bool(some)
+        if some:
+            held.destroy()
 
 
-def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_chars: int = 1_000_000, pass_blocks: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per region of a document that repeats a benchmark passage.
 
     Columns: the document's id, the passage's id, begin and end (code points of the raw text), edits,
     item_chars. Compared in lower case with white space folded. A passage of m characters may differ by
-    floor(rate m) edits; by fewer where it is so short that the q-gram bound would be void (under some
-    5 q characters at rate 0.1). Passages under q characters match nothing. Of overlapping regions for
-    one passage the one of fewest edits is kept, then the first. Null texts are empty; repeated rows and
-    repeated passages give rows each; empty tables give an empty result; other columns are not read.
+    floor(rate m) edits; one too short for any edit (under 1 / rate characters) must stand unchanged, as
+    whole words. A passage without characters matches nothing. Of overlapping regions for one passage the
+    one of fewest edits is kept, then the first. Null texts are empty; repeated rows and repeated passages
+    give rows each; empty tables give an empty result; other columns are not read.
 
-    The benchmark goes to the executors in blocks of `block_chars`, one broadcast index each; documents
-    are read once for all blocks, without a shuffle.
+    The benchmark goes to the executors in blocks of `block_chars`; a pass over the documents takes
+    `pass_blocks` of them, so that one pass does for most benchmarks. Nothing is shuffled.
     """
-    blocks = indexes(benchmark, q, rate, block_chars, item_col, item_text_col)
     slim = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     item_type = benchmark.schema[item_col].dataType
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("item", item_type), *(T.StructField(c, T.LongType()) for c in ("begin", "end", "edits", "item_chars"))])
-    arrow = pa.schema([("id", _arrow(slim.schema["id"].dataType)), ("item", _arrow(item_type)), *((c, pa.int64()) for c in ("begin", "end", "edits", "item_chars"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, rows=256, text=1, size=1_000_000):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for block in blocks:
-                p = block.value
-                out += [(ids[r], p.ids[i], s, e, cost, len(p.codes[i])) for r, i, s, e, cost in p.matches(texts)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+    arrow = to_arrow_schema(schema)
+    out = None
+    for held, more in passes(benchmark, q, rate, block_chars, pass_blocks, item_col, item_text_col):
 
-    found = slim.mapInArrow(run, schema)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col.lower() != id_col.lower() else "benchmark_" + item_col), "begin", "end", "edits", "item_chars")
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in row_slices(batches, rows=256, text=1, size=1_000_000):
+                ids = b.column(0).to_pylist()
+                found = [(ids[row], *rest) for row, *rest in held.value.matches(b.column(1).to_pylist())]
+                cols = list(zip(*found, strict=True)) if found else [[]] * 6
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
+        part = slim.mapInArrow(run, schema)
+        part = materialise(part) if more or out is not None else part
+        out = part if out is None else out.unionByName(part)
+    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    item_name = item_col if item_col.lower() != id_col.lower() else "benchmark_" + item_col
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_name), "begin", "end", "edits", "item_chars")
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(kind)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that repeat no benchmark passage, with all their columns; see benchmark_overlaps."""
-    blocks = indexes(benchmark, q, rate, block_chars, item_col, item_text_col)
+def unmatched(held: Broadcast) -> Callable[[Column], Column]:
+    """A column function: whether a text repeats none of the index's passages."""
 
     @F.pandas_udf(T.BooleanType())
     def clean(texts: pd.Series) -> pd.Series:
@@ -295,11 +338,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: f
         batch = pa.record_batch([pa.array(texts, pa.string()).fill_null("")], names=["text"])
         at = 0
         for b in row_slices([batch], rows=256, text=0, size=1_000_000):
-            some = b.column(0).to_pylist()
-            for block in blocks:
-                for row, *_ in block.value.matches(some):
-                    out[at + row] = False
-            at += len(some)
+            for row, *_ in held.value.matches(b.column(0).to_pylist()):
+                out[at + row] = False
+            at += b.num_rows
         return pd.Series(out)
 
-    return docs.where(clean(text_or_empty(text_col)))
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_chars: int = 1_000_000, pass_blocks: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that repeat no benchmark passage, with all their columns; see benchmark_overlaps."""
+    for held, more in passes(benchmark, q, rate, block_chars, pass_blocks, item_col, item_text_col):
+        docs = docs.where(unmatched(held)(text_or_empty(text_col)))
+        docs = materialise(docs, compression="zstd") if more else docs
+    return docs

@@ -103,7 +103,7 @@ def test_decontamination_against_alignment():
     piece = ["the", "ing", "tion", "of", "er", "an", "st", "re"]
     say = lambda n: " ".join(rng.choice(piece) + rng.choice(piece) for _ in range(n))
     items = [say(rng.randint(6, 24)) for _ in range(12)]
-    p = Passages.build(list(range(12)), items, 8, 0.1)
+    (p,) = Passages.tiers(list(range(12)), items, 8, 0.1)
     for _ in range(80):
         i = rng.randrange(12)
         s = list(items[i])
@@ -121,14 +121,48 @@ def test_decontamination_against_alignment():
             assert got.get(j) == (d if d <= p.edits[j] else None)
 
 
+def test_decontamination_of_short_passages():
+    rng = random.Random(8)
+    items = ["".join(rng.choice("abc ") for _ in range(n)).strip() or "x" for n in (*range(1, 46),)]
+    tiers = Passages.tiers(list(range(len(items))), items, 8, 0.1)
+    whole = {p.ids[i]: (p, i) for p in tiers for i in range(len(p.ids))}
+    assert sorted(whole) == list(range(len(items)))
+    for i, (p, k) in whole.items():
+        assert p.edits[k] == len(p.codes[k]) // 10 and p.need[k] > 0
+    for _ in range(60):
+        i = rng.randrange(len(items))
+        s = list(items[i])
+        for _ in range(rng.randint(0, 2)):
+            s[rng.randrange(len(s))] = rng.choice("abc")
+        text = f"{''.join(rng.choice('abd ') for _ in range(rng.randint(0, 30)))} {''.join(s)} {''.join(rng.choice('abd ') for _ in range(9))}"
+        plain = "".join(map(chr, normalise(text)[0]))
+        got = {}
+        for p in tiers:
+            for _, item, _, _, edits in p.matches([text]):
+                got[p.ids[item]] = min(edits, got.get(p.ids[item], 99))
+        for j, (p, k) in whole.items():
+            passage = "".join(map(chr, p.codes[k]))
+            if p.edits[k]:
+                d = fewest_edits(passage, plain)
+                assert got.get(j) == (d if d <= p.edits[k] else None)
+            else:  # whole words, unchanged
+                places = [a for a in range(len(plain)) if plain.startswith(passage, a)]
+                stands = any(not (a and plain[a - 1].isalnum()) and not plain[a + len(passage) : a + len(passage) + 1].isalnum() for a in places)
+                assert got.get(j) == (0 if stands else None)
+
+
 def test_decontamination_tables(spark):
     passage = "A passage of the benchmark that is long enough to be told apart from chance."
-    bench = spark.createDataFrame([(10, passage), (11, None), (12, ""), (13, "short"), (14, passage)], "item_id bigint, text string")
+    bench = spark.createDataFrame([(10, passage), (11, None), (12, ""), (13, "short"), (14, passage), (15, "a bc")], "item_id bigint, text string")
     rows = [(1, f"before {passage.upper()} after"), (2, "clean words only"), (3, None), (4, ""), (1, passage), (None, passage.replace("long", "lang")), (6, LONG + passage + LONG)]
     got = sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in benchmark_overlaps(docs(spark, rows), bench).collect())
     assert got == sorted((d, i, e) for d, e in (("1", 0), ("1", 0), ("None", 1), ("6", 0)) for i in (10, 14))
-    blocks = benchmark_overlaps(docs(spark, rows), bench, block_chars=10)
-    assert sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in blocks.collect()) == got
+    for more in (1, 3):
+        blocks = benchmark_overlaps(docs(spark, rows), bench, block_chars=10, pass_blocks=more)
+        assert sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in blocks.collect()) == got
+    tiny = benchmark_overlaps(docs(spark, [(1, "this is short and a bc"), (2, "shorter, a bcd")]), bench)
+    assert sorted((r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in tiny.collect()) == [(1, 13, 8, 13), (1, 15, 18, 22)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs(spark, rows), bench, block_chars=10, pass_blocks=1).collect()) == [2, 3, 4]
     kept = drop_contaminated(docs(spark, rows), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4] and kept.columns == docs(spark).columns
     assert benchmark_overlaps(docs(spark, rows), bench.limit(0)).count() == 0 == benchmark_overlaps(docs(spark, []), bench).count()
