@@ -8,7 +8,9 @@ them. The sum of weights, normalised by length, goes through a logistic function
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,19 +41,33 @@ EXCEPTIONS = ["trash can", "trash bin", "trash bag", "trash collection", "clown
 ZERO_WIDTH = "­​‌‍⁠﻿"
 
 
-@lru_cache(maxsize=1)
-def fold_table() -> dict[int, str]:
-    """Code point to its folded form, for all below 0x3000 and the full-width forms; others are word breaks."""
-    table: dict[int, str] = {}
-    for point in [*range(0x3000), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800)]:
+#: Scripts written without spaces: each letter stands for a word.
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR")
+#: Single Latin letters in a row, as in a word with something between its letters.
+SPELLED = re.compile(r"(?<= )(?:[a-z] ){2,}[a-z](?= )")
+
+
+class FoldTable(dict):
+    """Code point to its folded form, made when it is first met: letters folded, all else a word break."""
+
+    def __missing__(self, point: int) -> str:
         c = chr(point)
         if c in ZERO_WIDTH or unicodedata.combining(c):
-            table[point] = ""
-            continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
-        out = "".join(HOMOGLYPHS.get(x, SUBSTITUTES.get(x, x)) for x in plain)
-        table[point] = out if out and all(x.isalpha() for x in out) else " "
-    return table
+            out = ""
+        else:
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+            out = "".join(HOMOGLYPHS.get(x, SUBSTITUTES.get(x, x)) for x in plain)
+            if not out or not all(x.isalpha() for x in out):
+                out = " "
+            elif unicodedata.name(c, "").startswith(UNSPACED):
+                out = f" {out} "
+        self[point] = out
+        return out
+
+
+@lru_cache(maxsize=1)
+def fold_table() -> FoldTable:
+    return FoldTable()
 
 
 @lru_cache(maxsize=1)
@@ -60,10 +76,15 @@ def ascii_table() -> bytes:
 
 
 def fold(text: str) -> list[str]:
-    """Folded words of the whole text."""
+    """Folded words of the whole text; three or more single Latin letters in a row are joined to a word."""
     if text.isascii():
-        return text.encode().translate(ascii_table()).decode("ascii").split()
-    return text.translate(fold_table()).split()
+        words = text.encode().translate(ascii_table()).decode("ascii").split()
+    else:
+        words = text.translate(fold_table()).split()
+    line = f" {' '.join(words)} "
+    if SPELLED.search(line):
+        return SPELLED.sub(lambda m: m[0].replace(" ", ""), line).split()
+    return words
 
 
 def entries(word: str, shortest: int = 4, longest: int = 6) -> list[str]:
@@ -112,8 +133,10 @@ class Lexicon:
                 spared.append((begin, end))
             else:
                 hits[begin] = max(w, hits.get(begin, w))
-        if spared:
-            hits = {b: w for b, w in hits.items() if not any(x <= b < y for x, y in spared)}
+        begins = sorted(hits) if spared else []
+        for x, y in spared:
+            for i in range(bisect_left(begins, x), bisect_left(begins, y)):
+                hits.pop(begins[i], None)
         return sum(hits.values()) / sqrt(len(words) + 1.0)
 
     def feature(self, text: str) -> float:
@@ -148,19 +171,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of at most `most` labelled ids outside the held-out third, those of least hash."""
+    """(text, toxic) of at most `most` labelled ids outside the held-out third, those of least hash.
+
+    A row an id: of rows that repeat an id the least text, of labels that do the highest.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most)
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_entries: int = 4_000, least_docs: int = 5, least_weight: float = 2.0, least_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_docs: int = 5, least_weight: float = 2.0, least_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon of a bounded sample of `most_rows` labelled documents.
 
     An entry is kept if at least `least_docs` toxic documents have it, its log-odds reach `least_weight`
     and its likelihood ratio against no association reaches `least_ratio`; a beginning of words makes longer entries under it needless unless they weigh more.
-    Words under a kept beginning that are commoner in clean documents become exceptions. Without labels
-    of both classes nothing is learned: every score is 0.
+    Words under a kept beginning that are commoner in clean documents become exceptions. All entries that
+    pass are kept: the sample's vocabulary bounds them. Without labels of both classes nothing is learned:
+    every score is 0.
     """
     sample = materialise(labelled_sample(docs, labels, most_rows, id_col, text_col, label_col))
     sizes = {int(r["toxic"] > 0): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -183,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_entr
     ratio = 2 * (F.col("t") * F.log(F.col("t") / (both * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - share)))).otherwise(0))
     good = counts.where(F.col("t") >= least_docs).where(ratio >= least_ratio).withColumn("w", weight).where(F.col("w") >= least_weight)
     kept: dict[str, float] = {}
-    for r in sorted(good.orderBy(F.col("w").desc(), "entry").limit(most_entries).collect(), key=lambda r: (len(r["entry"]), r["entry"])):
+    for r in sorted(good.select("entry", "w").collect(), key=lambda r: (len(r["entry"]), r["entry"])):
         entry = r["entry"]
         above = [kept[entry[:n]] for n in range(2, len(entry)) if entry[:n] in kept]
         if not above or r["w"] > max(above) + 0.5:
@@ -192,8 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_entr
     spared = list(EXCEPTIONS)
     if beginnings:
         under = F.col("entry").endswith(" ") & F.substring("entry", 1, 5).isin(sorted({e[:5] for e in beginnings}))
-        harmless = counts.where(under & (F.col("c") >= 3) & (weight < 0)).orderBy(F.col("c").desc(), "entry").limit(most_entries).collect()
-        spared += [r["entry"] for r in harmless if r["entry"] not in kept]
+        harmless = counts.where(under & (F.col("c") >= 3) & (weight < 0)).select("entry").collect()
+        spared += sorted(r["entry"] for r in harmless if r["entry"] not in kept)
     lexicon = Lexicon(kept, [f" {' '.join(fold(p))} " for p in spared])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +254,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     Only texts enter a score. Null texts are empty and score like any text without a hit. Repeated rows
     and null ids stay (a null id is never held out, nor labelled); an empty table gives an empty result;
     without labels of both classes every score is 0. Other columns are not read. The lexicon is bounded
-    by `most_entries` and is broadcast; scoring is one pass without a shuffle.
+    by the vocabulary of `most_rows` documents and is broadcast; scoring is one pass without a shuffle.
     """
     lexicon = learn(docs, labels, id_col=id_col, text_col=text_col, **learning)
     out = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), scorer(lexicon, docs)(text_col).alias("score"))

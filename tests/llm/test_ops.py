@@ -284,6 +284,41 @@ def test_toxicity(spark):
     assert {r["score"] for r in none.collect()} == {0.0} and toxicity.toxicity(docs(spark, []), lab).count() == 0
 
 
+def test_folding():
+    want = {"you 东idiot now": "you 东 idiot now", "i.d.i.o.t": "idiot", "I D 1 0 T!": "idiot", "a b": "a b", "І-D-І-О-Т x y": "idiotxy", "𝐈𝐝𝐢𝐨𝐭": "idiot", "id\u200biot": "idiot", "😀idiot😀": "idiot", "": "", "...": ""}
+    assert {t: " ".join(toxicity.fold(t)) for t in want} == want
+
+
+def brute_strength(lex, text):
+    words = toxicity.fold(text)
+    line, hits = f" {' '.join(words)} ", {}
+    for at in range(len(line)):
+        found = [w for e, w in lex.weights.items() if line.startswith(e, at)]
+        if found and not any(line.startswith(x, b) for x in lex.exceptions for b in range(max(0, at - len(x) + 2), at + 1)):
+            hits[at] = max(found)
+    return sum(hits.values()) / math.sqrt(len(words) + 1) if words else 0.0
+
+
+def test_toxicity_against_a_naive_search():
+    rng = random.Random(14)
+    for _ in range(200):
+        word = lambda n=5: "".join(rng.choice("abé1") for _ in range(rng.randint(1, n)))
+        folded = lambda n=5: " ".join(toxicity.fold(word(n))) or "a"
+        weights = {rng.choice([" {} ", " {}"]).format(folded()): rng.uniform(1, 6) for _ in range(6)}
+        lex = toxicity.Lexicon(weights, [f" {folded()} {folded()} " for _ in range(3)] + [f" {folded()} "])
+        text = " ".join(word(7) for _ in range(rng.randint(0, 60)))
+        assert lex.strength(text) == pytest.approx(brute_strength(lex, text))
+        z = lex.bias + lex.slope * math.log1p(10 * lex.strength(text))
+        assert lex.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    rows = [(i % 5, f"text {i}") for i in range(100)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(0, 1)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(docs(spark, rows), lab, 2, "doc_id", "text", "toxic").collect()
+    assert len(got) == 2 and len(toxicity.labelled_sample(docs(spark, rows), lab, 99, "doc_id", "text", "toxic").collect()) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(5))
+
+
 def test_toxicity_exceptions():
     lex = toxicity.Lexicon({" trash ": 5.0}, [" trash can "], bias=-4, slope=4)
     assert lex.strength("put it in the trash can") == 0 < lex.strength("you trash") == lex.strength("YOU TR4$H")
