@@ -9,9 +9,9 @@ are the content.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 from math import log
@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from lagoon.llm.common import row_slices, text_or_empty
 
-MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+TAG_STOP = re.compile(r"""[>"']""")
 #: Text inside these is no text of the page.
-SILENT = frozenset(["script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "title", "canvas", "audio", "video"])
+SILENT = frozenset(["script", "style", "noscript", "template", "svg", "iframe", "select", "textarea", "title", "canvas", "audio", "video"])
 BREAKS = frozenset(["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "pre", "blockquote", "section", "article", "main", "nav", "header", "footer", "aside", "form", "fieldset", "legend", "figure", "figcaption", "address", "details", "summary", "hr", "body", "html", "head", "menu", "dialog", "center", "hgroup", "search", "button"])
 VOID = frozenset(["hr", "br", "img", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed", "track", "param"])
 #: A start tag of the key closes an open element of these.
@@ -42,6 +43,7 @@ ROLE_SIGNAL = {"main": 3.0, "article": 4.0, "navigation": -6.0, "banner": -5.0,
 NAMES = {n: v for v, names in NAME_SIGNAL.items() for n in names.split()}
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NOTICE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 ADJACENT, RELATED = 0.8, 1.2
 
 
@@ -67,72 +69,145 @@ def element_signal(tag: str, attributes: str) -> float:
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]  # numbers of the open elements, the outermost first
+    node: int  # of the innermost open element; 0 is the page
     signal: float
     linked: int
 
 
-def blocks(html: str) -> list[Block]:
+@dataclass
+class Tree:
+    """Parent and depth of each element that breaks the text, by number; 0 is the page itself."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def steps(self, a: int, b: int, most: int = 64) -> int:
+        """Edges between two elements; counted up to about `most`, beyond which nearness is nil."""
+        steps = 0
+        while a != b and steps < most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+class Markup:
+    """The page's tags one after another, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_close = html.rfind(">")
+        self.without_end: set[str] = set()  # elements that nothing closes from here on
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at `at`; quoted values may hold others."""
+        pos = at
+        while m := TAG_STOP.search(self.html, pos):
+            if m[0] == ">":
+                return m.start()
+            pos = m.end()
+            if self.html[at : m.start()].rstrip().endswith("=") if m.start() - at < 200 else self.html[m.start() - 1] in "= \t\r\n":
+                closed = self.html.find(m[0], pos)
+                pos = closed + 1 if closed >= 0 else pos
+        return self.html.find(">", at)
+
+    def next_tag(self, at: int) -> tuple[int, int, bool, str, str]:
+        """(begin, end, closes, name, attributes) of the next markup from `at`; no name for comments and the like."""
+        html, size = self.html, len(self.html)
+        while 0 <= (begin := html.find("<", at)):
+            if html.startswith("<!--", begin):
+                ends = [e + n for e, n in ((html.find("-->", begin + 4), 3), (html.find("--!>", begin + 4), 4)) if e >= 0] if begin < self.last_close else []
+                return begin, min(ends, default=size), False, "", ""
+            if begin > self.last_close:  # no tag ends any more
+                break
+            if m := TAG_NAME.match(html, begin + 1):
+                end = self.tag_end(m.end())
+                return begin, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+            if html[begin + 1 : begin + 2] in ("!", "?", "/"):
+                return begin, html.find(">", begin) + 1, False, "", ""
+            at = begin + 1
+        return size, size, False, "", ""
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the element that begins at `at` and whose text is not read ends; `at` if nothing closes it."""
+        if tag not in self.without_end:
+            if close := closing(tag).search(self.html, at):
+                return close.end()
+            self.without_end.add(tag)
+        return len(self.html) if tag in ("script", "style", "textarea", "title") else at
+
+
+@lru_cache(maxsize=64)
+def closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*+(?:>|\Z)", re.I)
+
+
+def blocks(html: str) -> tuple[list[Block], Tree]:
     """The page's text blocks in order; tolerant of what is unclosed, and of what is closed but not open."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # tag, number, signal from here down
+    tree, markup = Tree(), Markup(html)
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, signal from here down
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links: list[int] = []  # of the parts, those inside a link
-    in_link, number, at = False, 0, 0
+    in_link, at, size = False, 0, len(html)
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
             in_links = sum(len(parts[i]) for i in links)
-            out.append(Block(text, stack[-1][0] if stack else "", tuple(n for _, n, _ in stack), stack[-1][2] if stack else 0.0, min(in_links, len(text))))
+            out.append(Block(text, stack[-1][0], stack[-1][1], stack[-1][2], min(in_links, len(text))))
         parts.clear()
         links.clear()
 
-    size = len(html)
+    def leave() -> None:
+        open_tags[stack.pop()[0]] -= 1
+
     while at < size:
-        m = MARKUP.search(html, at)
-        end = m.start() if m else size
-        if end > at:
+        begin, end, closes, tag, attributes = markup.next_tag(at)
+        if begin > at:
             if in_link:
                 links.append(len(parts))
-            parts.append(html[at:end])
-        if m is None:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+            parts.append(html[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closes:
             if tag == "a":
                 in_link = False
             elif tag in BREAKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if open_tags[tag]:
+                    while stack[-1][0] != tag:
+                        leave()
+                    leave()
             continue
         if tag in SILENT:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else (size if tag in ("script", "style", "textarea", "title") else at)
+            if not attributes.rstrip().endswith("/"):
+                at = markup.after(tag, at)
             parts.append(" ")
         elif tag == "a":
             in_link = True
         elif tag in BREAKS:
             flush()
-            closes = CLOSES.get(tag, {"p"})
-            while stack and stack[-1][0] in closes and tag not in ("html", "body", "head"):
-                stack.pop()
+            implied = CLOSES.get(tag, {"p"})
+            while stack[-1][0] in implied and tag not in ("html", "body", "head"):
+                leave()
             if tag not in VOID:
-                own, above = element_signal(tag, m[3]), stack[-1][2] if stack else 0.0
-                number += 1
-                stack.append((tag, number, own + 0.5 * above if own else above))
+                own, above = element_signal(tag, attributes), stack[-1][2]
+                stack.append((tag, tree.add(stack[-1][1]), own + 0.5 * above if own else above))
+                open_tags[tag] += 1
         elif tag in VOID:
             parts.append(" ")
     flush()
-    return out
+    return out, tree
 
 
 def content_odds(b: Block) -> float:
@@ -146,19 +221,13 @@ def content_odds(b: Block) -> float:
         odds += 0.8
     elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         odds += 0.5
-    if words <= 12 and re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", b.text, re.I):
+    if words <= 12 and NOTICE.match(b.text):
         odds -= 2.0
     return odds
 
 
-def smoothness(a: Block, b: Block) -> float:
+def smoothness(steps: int) -> float:
     """Joint capacity of two neighbours: a constant, and more the fewer steps lie between them in the tree."""
-    shared = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        shared += 1
-    steps = len(a.path) + len(b.path) - 2 * shared
     return ADJACENT / (1 + steps) + (RELATED / steps if 0 < steps <= 2 else RELATED if steps == 0 else 0.0)
 
 
@@ -230,28 +299,38 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def main_text(html: str) -> str:
-    """The content blocks in page order, two line feeds between."""
-    found = blocks(html)
-    if not found:
-        return ""
+def content_blocks(found: list[Block], tree: Tree) -> list[bool]:
+    """Which blocks are content: by the cut, or, if it leaves none, those that nothing speaks against.
+
+    A page may be so short that no block has words enough to be called content by the classifier.
+    """
     odds = [content_odds(b) for b in found]
-    edges = [(i, i + 1, smoothness(found[i], found[i + 1])) for i in range(len(found) - 1)]
+    edges = [(i, i + 1, smoothness(tree.steps(found[i].node, found[i + 1].node))) for i in range(len(found) - 1)]
     last_under: dict[int, int] = {}
     for i, b in enumerate(found):  # siblings with other blocks between them
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        before = last_under.get(parent, -1)
+        before = last_under.get(tree.parent[b.node], -1)
         if 0 <= before < i - 1:
             edges.append((before, i, RELATED / 2))
-        last_under[parent] = i
-    return "\n\n".join(b.text for b, keep in zip(found, minimum_cut(odds, edges), strict=True) if keep)
+        last_under[tree.parent[b.node]] = i
+    kept = minimum_cut(odds, edges)
+    if any(kept):
+        return kept
+    return [b.signal >= 0 and 2 * b.linked <= len(b.text) and not NOTICE.match(b.text) for b in found]
+
+
+def main_text(html: str) -> str:
+    """The content blocks in page order, two line feeds between."""
+    found, tree = blocks(html)
+    return "\n\n".join(b.text for b, keep in zip(found, content_blocks(found, tree), strict=True) if keep) if found else ""
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: the id, url, text, n_chars (code points).
 
     A null html is empty and gives an empty text. Repeated rows and null ids and urls stay; an empty table
-    gives an empty result; other columns are not read. Whole pages are parsed. One pass, no shuffle.
+    gives an empty result; other columns are not read. Whole pages are parsed, in time and memory that grow with their size.
+    Where the cut calls nothing content, the blocks that nothing speaks against are the text. One pass,
+    no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
