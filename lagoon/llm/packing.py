@@ -10,6 +10,9 @@ not of pieces. Pieces are numbered within their length and look up their bin in
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -171,58 +174,116 @@ class Plan:
 RELAXED = (0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.16)
 
 
+#: A packing in short: what a bin holds (length to pieces of it), and how many bins hold just that.
+Bins = list[tuple[dict[int, int], int]]
+
+
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> Plan:
     """The packing of a histogram of lengths, each between 1 and `capacity`.
 
     Filling every bin to the brim can use up short pieces that long ones will lack. Unless no bin at all
-    can be saved, it is tried again with some slack allowed, and the fewest bins are taken.
+    can be saved, it is tried again with some slack allowed, and then from a decreasing best fit whose
+    loose bins are emptied and packed anew; the fewest bins are taken, never more than best fit's.
     """
     least = max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
     best = packed_bins(counts, capacity, 0)
     for share in RELAXED:
-        if best.bins <= least:
+        if number(best) <= least:
             break
-        other = packed_bins(counts, capacity, int(share * capacity))
-        if other.bins < best.bins:
-            best = other
-    return best
+        best = min(best, packed_bins(counts, capacity, int(share * capacity)), key=number)
+    if number(best) > least:
+        start = best_fit(counts, capacity)
+        best = min(best, start, key=number)
+        for share in (0.0, *RELAXED):
+            tight = [(held, times) for held, times in start if capacity - weight(held) <= share * capacity]
+            rest = dict(counts)
+            for held, times in tight:
+                for x, n in held.items():
+                    rest[x] -= n * times
+            best = min(best, tight + packed_bins(rest, capacity, int(share * capacity)), key=number)
+    return laid_out(best)
+
+
+def number(bins: Bins) -> int:
+    return sum(times for _, times in bins)
 
 
-def packed_bins(counts: dict[int, int], capacity: int, slack: int) -> Plan:
+def weight(held: dict[int, int]) -> int:
+    return sum(x * n for x, n in held.items())
+
+
+def packed_bins(counts: dict[int, int], capacity: int, slack: int) -> Bins:
     """One run: bin after bin the longest piece left and the fullest complement of it."""
     left = {k: int(v) for k, v in counts.items() if v}
-    given = dict.fromkeys(left, 0)
-    rows: list[tuple[int, int, int, int, int, int]] = []
-    bins = 0
+    out: Bins = []
     while left:
         longest = max(left)
         rest = dict(left)
         rest[longest] -= 1
         if not rest[longest]:
             del rest[longest]
-        chosen = [longest, *fullest(rest, capacity - longest, slack)]
-        times: dict[int, int] = {}
-        for x in chosen:
-            times[x] = times.get(x, 0) + 1
-        runs = min(left[x] // n for x, n in times.items())
-        offset = 0
-        for x, n in times.items():
-            rows.append((x, given[x], given[x] + n * runs, bins, n, offset))
-            given[x] += n * runs
-            offset += n * x
+        held = dict(Counter([longest, *fullest(rest, capacity - longest, slack)]))
+        runs = min(left[x] // n for x, n in held.items())
+        out.append((held, runs))
+        for x, n in held.items():
             left[x] -= n * runs
             if not left[x]:
                 del left[x]
-        bins += runs
+    return out
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Bins:
+    """Decreasing best fit, on classes of equal bins: pieces of one length go where the least room is left."""
+    classes: dict[int, list[tuple[dict[int, int], int]]] = {}  # room left, to bins with it
+    rooms: list[int] = []
+    for length in sorted((x for x, n in counts.items() if n), reverse=True):
+        many = counts[length]
+        while many:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                held, times = classes[room].pop()
+                if not classes[room]:
+                    del classes[room], rooms[at]
+            else:
+                room, held, times = capacity, {}, many
+            per = min(room // length, many)
+            taken = min(times, many // per)
+            if taken < times and held:
+                changed = [(held, times - taken, room)]
+            else:
+                changed = []
+            changed.append((held | {length: per}, taken, room - per * length))
+            many -= taken * per
+            for what, n, free in changed:
+                if free not in classes:
+                    classes[free] = []
+                    insort(rooms, free)
+                classes[free].append((what, n))
+    return [one for some in classes.values() for one in some]
+
+
+def laid_out(bins: Bins) -> Plan:
+    """The plan of a packing: bins numbered in order, in each the lengths in order."""
+    given: dict[int, int] = {}
+    rows: list[tuple[int, int, int, int, int, int]] = []
+    first = 0
+    for held, times in bins:
+        offset = 0
+        for x, n in held.items():
+            start = given.get(x, 0)
+            given[x] = start + n * times
+            rows.append((x, start, given[x], first, n, offset))
+            offset += n * x
+        first += times
     rows.sort()
-    cols = np.array(rows, np.int64).reshape(-1, 6).T
-    return Plan(*cols, bins)
+    return Plan(*np.array(rows, np.int64).reshape(-1, 6).T, first)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces of at most `capacity` ids: id, piece, start, length, ids, and part and nth.
+    """Pieces of at most `capacity` ids: id, piece, start, length, ids, crc, and part and nth.
 
-    ids is binary, little-endian unsigned 32-bit. part is the task, nth the piece's number among those
+    ids is binary, little-endian unsigned 32-bit; crc its CRC-32. part is the task, nth the piece's number among those
     of its length in that task.
     """
 
@@ -231,7 +292,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         part, counter = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         end = np.array([end_id], "<u4").tobytes()
         for b in row_slices(batches, rows=256, text=1):
-            owner, piece, start, length, nth, ids = [], [], [], [], [], []
+            owner, piece, start, length, nth, crc, ids = [], [], [], [], [], [], []
             for i, coded in enumerate(words.ids(b.column(1).to_pylist())):
                 coded += end
                 n = len(coded) // 4
@@ -244,24 +305,26 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                     nth.append(counter[upto - at])
                     counter[upto - at] += 1
                     ids.append(coded[4 * at : 4 * upto])
-            longs = [pa.array(x, pa.int64()) for x in (start, length, nth)]
-            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *longs, pa.array([part] * len(owner), pa.int32()), pa.array(ids, pa.binary())], names=["id", "piece", "start", "length", "nth", "part", "ids"])
+                    crc.append(zlib.crc32(ids[-1]))
+            longs = [pa.array(x, pa.int64()) for x in (start, length, nth, crc)]
+            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *longs, pa.array([part] * len(owner), pa.int32()), pa.array(ids, pa.binary())], names=["id", "piece", "start", "length", "nth", "crc", "part", "ids"])
 
     slim = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kinds = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "nth": T.LongType(), "part": T.IntegerType(), "ids": T.BinaryType()}
+    kinds = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "nth": T.LongType(), "crc": T.LongType(), "part": T.IntegerType(), "ids": T.BinaryType()}
     return slim.mapInArrow(run, T.StructType([T.StructField("id", slim.schema["id"].dataType), *(T.StructField(k, v) for k, v in kinds.items())]))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, most_offsets: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: the id, piece, start, length, ids (binary), sequence_id, offset.
+    """One row per piece: the id, piece, start, length, ids (binary), ids_crc32, sequence_id, offset.
 
     A document is its ids and then `end_id`; only documents longer than `capacity` are cut. Null texts
     are empty: `end_id` alone. Each row of `docs` is packed, repeated ones too; a null id stays null; an
     empty table gives an empty result; other columns are not read.
 
-    Token ids are written once to the shared folder and do not move again: a task numbers its pieces
-    within their length as it writes them, and (task, length) counts give each task its first number.
-    Those counts are broadcast up to `most_offsets` rows (24 bytes each), joined by a shuffle beyond.
+    Token ids are written once to the shared folder: a task numbers its pieces within their length as it
+    writes them, and (task, length) counts give each task its first number. Those counts are broadcast up
+    to `most_offsets` rows (some 80 bytes each in the join's table); beyond, the join shuffles the columns
+    that the caller keeps: without `ids` some 60 bytes a piece, and the ids are not read again.
     The driver gets the histogram of lengths, at most `capacity` counts, and sends the plan back.
     """
     pieces = materialise(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), compression="zstd")
@@ -278,7 +341,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         return pd.DataFrame({"sequence_id": bin_, "offset": offset})
 
     placed = pieces.join(base, ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("nth")))
-    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids", F.col("crc").alias("ids_crc32"), "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

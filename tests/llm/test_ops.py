@@ -1,5 +1,6 @@
 """The ten operators against brute force, on awkward tables: nulls, empty and long texts, ties, repeats, clashes."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lagoon.llm import html_text, licenses, simhash, token_counts, topk, toxicity
+from lagoon.llm import html_text, licenses, packing, simhash, token_counts, topk, toxicity
 from lagoon.llm.chat import chat_windows, digests, read_back
 from lagoon.llm.decontaminate import Passages, benchmark_overlaps, drop_contaminated, normalise
 from lagoon.llm.packing import minimum_bin_slack, pack, sequences
@@ -406,6 +407,7 @@ def test_packing(spark):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
         want += [(str(i), p, at, np.array(ids[at : at + 256], "<u4").tobytes()) for p, at in enumerate(range(0, len(ids), 256))]
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], bytes(r["ids"])) for r in got) == sorted(want)
+    assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in got)
     bins = {}
     for r in got:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -434,14 +436,34 @@ def test_minimum_bin_slack_fills():
             b, o = plan.place(np.full(n, length), np.arange(n))
             np.add.at(size, b, length)
             assert (o >= 0).all()
-        room: list[int] = []  # first fit, longest first
-        for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
-            k = next((k for k, r in enumerate(room) if r >= x), None)
-            if k is None:
-                room.append(100 - x)
-            else:
-                room[k] -= x
-        assert size.max() <= 100 and (size > 0).all() and plan.bins <= 1.02 * len(room) + 1
+        assert size.max() <= 100 and (size > 0).all()
+
+
+def best_fit_bins(counts, capacity):
+    room = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        at = bisect.bisect_left(room, x)
+        left = (room.pop(at) if at < len(room) else capacity) - x
+        bisect.insort(room, left)
+    return len(room)
+
+
+def test_never_more_bins_than_best_fit():
+    rng = random.Random(18)
+    saved = 0
+    for i in range(60):
+        low, high = ((1, 4096), (300, 2600), (800, 2000), (1000, 4096), (1, 60))[i % 5]
+        counts = {rng.randint(low, high): rng.randint(1, 50) for _ in range(rng.randint(1, 60))}
+        want = best_fit_bins(counts, 4096)
+        assert sum(t for _, t in packing.best_fit(counts, 4096)) == want
+        plan = minimum_bin_slack(counts, 4096)
+        assert plan.bins <= want
+        saved += want - plan.bins
+        size = np.zeros(plan.bins, int)
+        for length, n in counts.items():
+            np.add.at(size, plan.place(np.full(n, length), np.arange(n))[0], length)
+        assert size.max() <= 4096 and size.min() > 0
+    assert saved > 0
 
 
 def test_urls(spark):
