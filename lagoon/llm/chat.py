@@ -1,9 +1,11 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of the turns' tokens choose turn-aligned spans: a turn belongs to the window in whose stride
-of the sum it begins. Every window starts with the conversation's system turn and repeats a limited
-history before its own turns; what is repeated is marked and masked, so each target counts once. Sums are
-taken per chunk of turns and then over the chunks, so a long conversation is spread over tasks.
+Prefix sums of the turns' tokens choose turn-aligned spans. What the system turn and a limited history
+leave of the budget is halved to a stride; a window takes the turns that begin within one stride of the
+sum and are no longer than one, so that it keeps the budget, and a longer turn stands in a window of its
+own. Every window starts with the conversation's system turn and repeats the turns just before its own;
+what is repeated is marked and masked, so each target counts once. Sums run within chunks of turns, so a
+long conversation is spread over tasks, and texts are shuffled once, by chunk.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.llm.common import materialise
+
 #: The template's control strings.
 TURN, AGAIN, TEXT, END = "<|turn|>", "<|again|>", "<|text|>", "<|end|>"
 #: What opens a control string, of this template or of common others, may hold backslashes.
@@ -33,56 +37,97 @@ def turn_tokens(role: Column, text: Column, marks: int = 4) -> Column:
     return F.regexp_count(F.concat(role, F.lit(" "), text), F.lit(r"\w+|[^\w\s]")) + marks
 
 
-def placed_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Turns with chunk, nth in the chunk, tokens, and before: the tokens of the conversation's earlier turns."""
-    slim = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = slim.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"))).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / F.lit(CHUNK_TURNS)), F.lit(-(2**62))))
-    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = slim.withColumn("nth", F.row_number().over(inside)).withColumn("inside", F.sum("tokens").over(running) - F.col("tokens"))
-    totals = slim.groupBy("conv", "chunk").agg(F.sum("tokens").alias("total"))
-    over = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = totals.select(F.col("conv").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("total").over(over), F.lit(0)).alias("base"), F.sum("total").over(Window.partitionBy("conv")).alias("whole"))
-    joined = each.join(sums, each["conv"].eqNullSafe(sums["c"]) & (each["chunk"] == sums["k"]))
-    return joined.select("conv", "turn", "chunk", "nth", "role", "text", "tokens", (F.col("base") + F.col("inside")).alias("before"), "whole")
+def chunked(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Turns with the keys of their chunk: ck and cn for the conversation, neither null, and chunk."""
+    conv = F.col(conv_col)
+    return turns.select(
+        conv.alias("conv"),
+        F.coalesce(conv.cast("string"), F.lit("")).alias("ck"),
+        conv.isNull().alias("cn"),
+        F.coalesce(F.floor(F.col(turn_col) / F.lit(CHUNK_TURNS)), F.lit(-(2**62))).cast("bigint").alias("chunk"),
+        F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
 
 
-def chat_windows(turns: DataFrame, stride: int = 1024, history: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
-    """One row per window: the conversation's id, window, text, loss, own_turns.
+def openings(slim: DataFrame, most: int) -> DataFrame:
+    """A row per chunk: first_chunk of its conversation, and of the system turn that opens it the text and tokens.
 
-    loss lists (start, length) in code points of `text`: the escaped texts of the window's own `target`
-    turns. A window's own turns begin within one stride of tokens, so it exceeds the stride by less than
-    its last turn. Repeated are the turns of the window before that begin within `history` (at most the
-    stride) tokens of the boundary, and a system turn that opens the conversation.
+    Those are null where no system turn opens the conversation, or one of more than `most` tokens. Of the
+    texts only those of system turns are read.
+    """
+    nulls_first = F.col("turn").isNotNull()
+    chunks = slim.groupBy("ck", "cn", "chunk").agg(F.min(F.struct(nulls_first, "turn", "role")).alias("first"))
+    whole = Window.partitionBy("ck", "cn")
+    chunks = chunks.select("ck", "cn", "chunk", F.min("chunk").over(whole).alias("first_chunk"), F.min("first").over(whole).alias("first"))
+    system = slim.where(F.col("role") == "system").groupBy("ck", "cn").agg(F.min(F.struct(nulls_first, "turn", "role", "text")).alias("system"))
+    system = system.withColumn("size", turn_tokens(F.col("system.role"), F.col("system.text"))).where(F.col("size") <= most)
+    joined = chunks.join(system, ["ck", "cn"], "left")
+    opens = F.col("first.role") == "system"
+    return joined.select("ck", "cn", "chunk", "first_chunk", F.when(opens, F.col("system.text")).alias("system"), F.when(opens, F.col("size")).alias("size"))
 
-    Rows are ordered by turn, nulls first, ties by role and text; repeated rows are turns each. Null
-    roles and texts are empty; a null conversation id is one conversation; an empty table gives an empty
-    result; other columns are not read. Nothing is cut or dropped.
+
+def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target: str = "assistant") -> DataFrame:
+    """One row per window: the conversation's id, window (orders a conversation's), text, loss, own_turns, tokens.
+
+    loss lists (start, length) in code points of `text`: the escaped texts of the window's own `target`
+    turns. tokens is an estimate (turn_tokens) and at most `budget`, unless a single turn is longer than
+    system and history leave: that one stands whole in a window of its own behind them. A system turn that
+    opens the conversation is repeated in each window if it takes at most three quarters of what the
+    history leaves; a longer one stands in the first window only, and the others have the whole budget.
+    Repeated are also the turns before the window's own, as many as `history` tokens hold, from the same
+    chunk of turns (256 turn numbers).
+
+    Rows are ordered by turn, nulls first, ties by role and text; rows with one turn number are sorted in
+    one task, and repeated rows are turns each. Null roles and texts are empty; a null conversation id is
+    one conversation; an empty table gives an empty result; other columns are not read. Nothing is cut or
+    dropped.
     """
-    if not 0 <= history <= stride:
-        raise ValueError("history must lie between 0 and the stride")
-    t = placed_turns(turns, conv_col, turn_col, role_col, text_col)
-    own = F.floor(F.col("before") / F.lit(stride))
-    opening = (F.col("before") == 0) & (F.col("role") == "system")
-    # windows that repeat the turn: the next one, or all later ones
-    last = F.floor((F.col("whole") - 1) / F.lit(stride))
-    next_ = F.when(F.col("before") >= (own + 1) * stride - history, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
-    again = F.when(opening, F.when(last >= 1, F.sequence(F.lit(1).cast("bigint"), last)).otherwise(F.array().cast("array<bigint>"))).otherwise(next_)
-    places = F.concat(F.array(F.struct(own.alias("window"), F.lit(False).alias("again"))), F.transform(again, lambda w: F.struct(w.alias("window"), F.lit(True).alias("again"))))
-    spread = t.select("conv", "chunk", "nth", "role", "text", F.explode(places).alias("p")).select("conv", "p.window", "p.again", "chunk", "nth", "role", "text")
-    head = F.concat(F.when(F.col("again"), F.lit(AGAIN)).otherwise(F.lit(TURN)), escape(F.col("role")), F.lit(TEXT))
-    piece = F.struct("chunk", "nth", head.alias("head"), escape(F.col("text")).alias("body"), (~F.col("again") & (F.col("role") == target)).alias("target"), "again")
-    windows = spread.groupBy("conv", "window").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    windows = windows.where(F.exists("pieces", lambda p: ~p["again"]))
+    if not 0 <= history <= budget // 2:
+        raise ValueError("history must lie between 0 and half the budget")
+    room = budget - history
+    slim = chunked(turns, conv_col, turn_col, role_col, text_col)
+    keys = ["ck", "cn", "chunk"]
+    opening = materialise(openings(slim, room * 3 // 4))  # used twice, and a row a chunk
+    inside = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = slim.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"))).withColumn("nth", F.row_number().over(inside))
+    t = t.join(opening.drop("system"), keys)
+    t = t.withColumn("opens", F.col("size").isNotNull() & (F.col("chunk") == F.col("first_chunk")) & (F.col("nth") == 1))
+    t = t.withColumn("stride", F.floor((F.lit(room) - F.coalesce("size", F.lit(0))) / 2)).withColumn("cost", F.when(F.col("opens"), 0).otherwise(F.col("tokens")))
+    t = t.withColumn("at", F.sum("cost").over(before) - F.col("cost"))
+    t = t.withColumn("long", F.col("cost") > F.col("stride")).withColumn("step", F.floor(F.col("at") / F.col("stride")))
+    span = Window.partitionBy(*keys, "step", "long")
+    t = t.withColumn("begin", F.min("at").over(span)).withColumn("end", F.max(F.col("at") + F.col("cost")).over(span))
+    # a window is known by the sum where it begins: the next one begins where this one ends
+    repeated = ~F.col("opens") & (F.col("end") - F.col("at") <= history)
+    own, again = (F.struct(F.col(c).cast("bigint").alias("begin"), F.lit(c == "end").alias("again")) for c in ("begin", "end"))
+    spread = t.withColumn("p", F.explode(F.when(repeated, F.array(own, again)).otherwise(F.array(own))))
+    head = F.concat(F.when(F.col("p.again"), F.lit(AGAIN)).otherwise(F.lit(TURN)), escape(F.col("role")), F.lit(TEXT))
+    is_target = ~F.col("p.again") & (F.col("role") == target)
+    piece = F.struct("nth", head.alias("head"), escape(F.col("text")).alias("body"), is_target.alias("target"), F.col("p.again").alias("again"), "opens", "tokens")
+    windows = spread.withColumn("begin", F.col("p.begin")).groupBy(*keys, "begin").agg(F.first("conv").alias("conv"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    windows = windows.where(F.exists("pieces", lambda p: ~p["again"])).join(opening.where("size is not null").select(*keys, "system", "size"), keys, "left")
+    system = F.struct(F.lit(0).alias("nth"), F.lit(f"{AGAIN}system{TEXT}").alias("head"), escape(F.col("system")).alias("body"), F.lit(False).alias("target"), F.lit(True).alias("again"), F.lit(False).alias("opens"), F.col("size").alias("tokens"))
+    lacks = F.col("size").isNotNull() & ~F.exists("pieces", lambda p: p["opens"])
+    windows = windows.withColumn("pieces", F.when(lacks, F.concat(F.array(system), "pieces")).otherwise(F.col("pieces")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["head"])
-        span = F.array(F.struct(begin.cast("bigint").alias("start"), F.length(p["body"]).cast("bigint").alias("length")))
-        return F.struct((begin + F.length(p["body"]) + len(END)).cast("bigint").alias("at"), F.when(p["target"], F.concat(acc["loss"], span)).otherwise(acc["loss"]).alias("loss"))
+        loss = F.array(F.struct(begin.cast("bigint").alias("start"), F.length(p["body"]).cast("bigint").alias("length")))
+        return F.struct((begin + F.length(p["body"]) + len(END)).cast("bigint").alias("at"), F.when(p["target"], F.concat(acc["loss"], loss)).otherwise(acc["loss"]).alias("loss"))
 
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return windows.select(F.col("conv").alias(conv_col), "window", text.alias("text"), F.aggregate("pieces", start, step)["loss"].alias("loss"), F.size(F.filter("pieces", lambda p: ~p["again"])).alias("own_turns"))
+    return windows.select(
+        F.col("conv").alias(conv_col),
+        F.struct("chunk", "begin").alias("window"),
+        text.alias("text"),
+        F.aggregate("pieces", start, step)["loss"].alias("loss"),
+        F.size(F.filter("pieces", lambda p: ~p["again"])).alias("own_turns"),
+        F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, p: n + p["tokens"]).alias("tokens"),
+    )
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -112,19 +112,28 @@ ORACLES: dict[str, str] = {
             UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
         t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   len(regexp_extract_all(coalesce(role, '') || ' ' || coalesce(text, ''), '[a-zA-Z_0-9]+|[^a-zA-Z_0-9\s]')) + 4 AS tokens
+                   len(regexp_extract_all(coalesce(role, '') || ' ' || coalesce(text, ''), '[a-zA-Z_0-9]+|[^a-zA-Z_0-9\s]')) + 4 AS tokens,
+                   CAST(floor(turn / 256.0) AS BIGINT) AS chunk
             FROM said),
-        sums AS (
-            SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-                   sum(tokens) OVER (PARTITION BY conv_id) AS whole,
+        ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn, role, text) AS nth, min(chunk) OVER (PARTITION BY conv_id) AS first_chunk,
                    length(role) + length(text) + 23
                    + len(regexp_extract_all(role, '[<\[]\\*(?:\||/?s>|/?INST\])')) + len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|/?INST\])')) AS size
             FROM t),
-        placed AS (SELECT *, before // 1024 AS w FROM sums),
-        filled AS (SELECT DISTINCT conv_id, w FROM placed),
+        opening AS (SELECT conv_id, tokens AS held, size AS again FROM ordered WHERE chunk = first_chunk AND nth = 1 AND role = 'system' AND tokens <= 576),
+        costed AS (
+            SELECT o.*, held IS NOT NULL AND chunk = first_chunk AND nth = 1 AS opens, (768 - coalesce(held, 0)) // 2 AS stride,
+                   CASE WHEN opens THEN 0 ELSE tokens END AS cost
+            FROM ordered o LEFT JOIN opening USING (conv_id)),
+        summed AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id, chunk ORDER BY nth) - cost AS pos FROM costed),
+        placed AS (
+            SELECT *, min(pos) OVER w AS wbegin, max(pos + cost) OVER w AS wend
+            FROM summed WINDOW w AS (PARTITION BY conv_id, chunk, pos // stride, cost > stride)),
+        filled AS (SELECT conv_id, chunk, wbegin, bool_or(opens) AS opens FROM placed GROUP BY ALL),
         extra AS (
-            SELECT p.conv_id, p.size + 1 AS size FROM placed p JOIN filled f ON f.conv_id = p.conv_id AND f.w > p.w
-            WHERE (p.before = 0 AND p.role = 'system') OR (f.w = p.w + 1 AND p.before >= (p.w + 1) * 1024 - 256)),
+            SELECT p.conv_id, p.size + 1 AS size FROM placed p JOIN filled f ON f.conv_id = p.conv_id AND f.chunk = p.chunk AND f.wbegin = p.wend
+            WHERE NOT p.opens AND p.wend - p.pos <= 256
+            UNION ALL SELECT conv_id, again + 1 FROM filled JOIN opening USING (conv_id) WHERE NOT opens),
         chars AS (SELECT conv_id, sum(size) AS formatted_chars FROM (SELECT conv_id, size FROM placed UNION ALL SELECT * FROM extra) GROUP BY conv_id)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

@@ -496,8 +496,9 @@ def test_chat(spark):
     rows = [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), rng.choice(bad), "x") for c in range(8) for t in range(rng.randint(1, 40))]
     rows += [(None, 1, "assistant", "no id", "x"), (50, None, "user", "no turn", "x"), (50, 1, None, "no role", "x"), (50, 1, "assistant", "tie", "x"), (50, 1, "assistant", "tie", "x"), (51, 300, "assistant", "late", "x"), (51, -300, "user", "early", "x")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, window string")
-    for stride, history in ((1024, 256), (60, 30), (7, 7)):
-        w = chat_windows(df, stride, history)
+    for budget, history in ((1024, 256), (60, 30), (7, 3)):
+        w = chat_windows(df, budget, history)
+        assert w.where(f"tokens > {budget} and own_turns > if(text like '<|turn|>system%', 2, 1)").count() == 0
         got = {r["conv_id"]: r for r in digests(read_back(w)).collect()}
         size = {r["conv_id"]: r["n"] for r in w.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
         convs = {}
@@ -510,11 +511,52 @@ def test_chat(spark):
             whole = "".join(f"{role}\n{x}\n" for *_, role, x in turns)
             r = got[c]
             assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), size[c])
-    small = chat_windows(df, 60, 30).where("conv_id = 1").orderBy("window").collect()
-    assert all(r["text"].startswith("<|again|>system" if i else "<|turn|>system") for i, r in enumerate(small))
     assert digests(read_back(chat_windows(df.limit(0)))).count() == 0
 
 
+def brute_windows(turns, budget, history):
+    """Windows of one conversation, given as (turn, role, text, tokens) in order: lists of (turn, repeated)."""
+    room, chunks = budget - history, {}
+    first = turns[0]
+    held = first[3] if first[1] == "system" and first[3] <= room * 3 // 4 else None
+    stride = (room - (held or 0)) // 2
+    for t in turns:
+        chunks.setdefault(t[0] // 256, []).append(t)
+    out = []
+    for some in chunks.values():
+        at, spans = 0, {}
+        for t in some:
+            opens = held is not None and t is first
+            cost = 0 if opens else t[3]
+            spans.setdefault((at // stride, cost > stride), []).append((at, cost, opens, t))
+            at += cost
+        made = {}
+        for span in spans.values():
+            made.setdefault(span[0][0], []).extend(span)
+        ends = [(span[-1][0] + span[-1][1], span) for span in spans.values()]
+        for begin, span in sorted(made.items()):
+            past = [t for end, other in ends for a, _, opens, t in other if end == begin and not opens and end - a <= history]
+            system = [first] if held is not None and not any(opens for _, _, opens, _ in span) else []
+            out.append([(t, True) for t in (*system, *past)] + [(t, False) for *_, t in span])
+    return out
+
+
+def test_chat_windows_keep_their_budget(spark):
+    rng = random.Random(20)
+    say = lambda n: " ".join("w" for _ in range(n))
+    convs = {1: [5000] + [200] * 40, 2: [300] + [200] * 40, 3: [20] + [rng.randint(1, 900) for _ in range(60)], 4: [2] * 700, 5: [600, 2000, 1, 2000, 1, 1], 6: [10]}
+    rows = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], say(n)) for c, sizes in convs.items() for t, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat_windows(df).orderBy("conv_id", "window").collect()
+    want = []
+    for c in convs:
+        turns = [(t, role, text, len(text.split()) + 5) for k, t, role, text in rows if k == c]
+        want += [(c, "".join(f"<|{'again' if again else 'turn'}|>{t[1]}<|text|>{t[2]}<|end|>" for t, again in w), sum(t[3] for t, _ in w), sum(not again for _, again in w)) for w in brute_windows(turns, 1024, 256)]
+    assert [(r["conv_id"], r["text"], r["tokens"], r["own_turns"]) for r in got] == want
+    assert all(r["tokens"] <= 1024 or r["own_turns"] <= 1 + (r["text"].startswith("<|turn|>system")) for r in got)
+    assert all("system" in r["text"] for r in got if r["conv_id"] in (2, 3, 4)) and sum("system" in r["text"] for r in got if r["conv_id"] == 1) == 1
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(21)
     rows = [(i, rng.normal(0, 1 + i % 3, 8).astype("float32").tolist(), "x") for i in range(400)]
