@@ -334,6 +334,13 @@ def test_licenses(spark):
         (21, "cc by cc by nc: Licensed under CC BY-NC 4.0. die tzente in mit license"),
         (22, "Licensed under the Apache License, Version 2.0. " * 40),
         (23, "Apacheé License; all rights reserved"),
+        (24, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. THE SOFTWARE IS PROVIDED"),
+        (25, "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the Big Project nor the names of its contributors may be used to endorse or promote products"),
+        (26, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License; it is GPLv3. gplv3 or later. Licensed under GPL v3"),
+        (27, "You may not use this file except in compliance with the License. \x01odd\x02 MIT LICENSE\x02"),
+        (28, "all rights reserved " * 300 + "licensed under the mit license " * 300),
+        (29, "MIT LİCENSE, mit\u212a license, \u212a, ÉCOLE mit license"),
+        (None, "mit license"),
     ]
     got = sorted(licenses.license_scan(docs(spark, rows)).collect(), key=lambda r: str(r["doc_id"]))
     table = licenses.signatures()
@@ -348,13 +355,15 @@ def test_licenses(spark):
             places += at
             base |= {label} if at else set()
         norm = f" {' '.join(words)} "
-        det = [(m.start(), m.end(), r.priority, r.number, r.label) for r in table if r.keyword in words for m in re.finditer(r.regex, norm)]
+        det = [(norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" "), r.priority, r.number, r.label) for r in table for m in re.finditer(r.regex, norm)]
         beaten = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or (e[:2] == d[:2] and e[3] < d[3])))
         kept = [d for d in det if not any(beaten(d, e) for e in det)]
         want.append((str(i), len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in kept})), max((d[2] for d in kept), default=0) / 100, sorted(kept)))
     as_row = lambda r: (str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"], sorted(map(tuple, r["detections"])))
     assert sorted(map(as_row, got), key=repr) == sorted(want, key=repr)
-    assert len(table) > 200 and licenses.license_scan(docs(spark, [])).count() == 0
+    found = {r["doc_id"]: r["labels"] for r in got}
+    assert found[24] == "mit" and found[25] == "bsd,bsd-3-clause" and found[26] == "gpl" and found[27] == "apache,mit"
+    assert len(table) > 400 and licenses.license_scan(docs(spark, [])).count() == 0
 
 
 def mention(rng, parsed):
