@@ -81,8 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Each rule's action, host and path as the query states them, against every URL.
 _RULES = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in EXPLICIT)
-_SEGMENTS = "|".join(r.path.strip("*/") for r in default_patterns() if r.path)
-_LABELS = "|".join(r.host for r in default_patterns() if r.host)
+_PATTERNS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in default_patterns())
 
 ORACLES: dict[str, str] = {
     "op8_url_filter": rf"""
@@ -96,14 +95,17 @@ ORACLES: dict[str, str] = {
             SELECT n, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
             FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
             GROUP BY n),
-        method AS (
-            SELECT n, regexp_extract(host || path, '^[^/]*/(?:.*/)?({_SEGMENTS})/', 1, 's') AS segment, regexp_extract(host, '(?:^|\.)({_LABELS})$', 1, 's') AS label
-            FROM parts),
+        shapes(paction, phost, ppath) AS (VALUES {_PATTERNS}),
+        regexes AS (
+            SELECT paction, phost || ppath AS pattern,
+                   CASE WHEN phost = '' THEN '' ELSE '^(?:.*\.)?' || replace(regexp_escape(phost), '\*', '.*') || '$' END AS hosts,
+                   '^' || replace(replace(regexp_replace(regexp_escape(ppath), '\\\|$', '$'), '\*', '.*'), '\^', '(?:[^A-Za-z0-9.-]|$)') AS paths
+            FROM shapes),
         patterns AS (
-            SELECT n, arg_max(p, length(p)) AS pattern
-            FROM (SELECT n, '*/' || segment || '/' AS p FROM method WHERE segment <> '' UNION ALL SELECT n, label FROM method WHERE label <> '')
+            SELECT n, arg_max(pattern, (length(pattern), pattern)) AS pattern, arg_max(paction, (length(pattern), pattern)) AS paction
+            FROM parts JOIN regexes ON regexp_matches(host, hosts, 's') AND regexp_matches(path, paths, 's')
             GROUP BY n)
-        SELECT page_id, host, path, rule, coalesce(action, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+        SELECT page_id, host, path, rule, coalesce(action, paction, 'allow') AS verdict,
                CASE WHEN rule IS NULL THEN pattern END AS pattern
         FROM parts LEFT JOIN fits USING (n) LEFT JOIN patterns USING (n)""",
     "op9_chat_format": r"""
