@@ -4,12 +4,13 @@ Fingerprints are reduced to the distinct ones first. Two that differ in at most
 at least m - r of m equal lanes, so every linked pair meets in a block keyed by some m - r lanes; a
 block is compared exactly, tile by tile, with numpy's exclusive-or and bit counts, and tiles whose
 population counts differ by more than r are skipped. Every m gives the same links; m only sets how
-many candidates a block holds. Large blocks are cut by population count and salt into tile pairs, so no
+many candidates a block holds. Huge blocks are split by further bits, large ones cut by population count and salt into tile pairs, so no
 task holds one whole. A tile pair returns a spanning forest of its links, never all of them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -72,11 +73,48 @@ def block_keys(fp: Column, lanes: int, radius: int) -> Column:
     keys = []
     for number, chosen in enumerate(combinations(range(lanes), lanes - radius)):
         mask = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(signed(mask))).alias("bits")))
     return F.array(*keys)
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def finer_masks(lanes: int, radius: int) -> list[list[int]]:
+    """For each choice of lanes the masks that split its blocks further.
+
+    Within a block all differences lie in the lanes not chosen. Their bits go to radius + 3 groups; a pair
+    agrees on at least 3 of them, so it meets again under the chosen lanes and some 3 groups.
+    """
+    edges = [BITS * i // lanes for i in range(lanes + 1)]
+    out = []
+    for chosen in combinations(range(lanes), lanes - radius):
+        base = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in chosen)
+        free = [b for b in range(BITS) if not base >> b & 1]
+        groups = [sum(1 << b for b in free[len(free) * g // (radius + 3) : len(free) * (g + 1) // (radius + 3)]) for g in range(radius + 3)]
+        out.append([signed(base | sum(some)) for some in combinations(groups, 3)])
+    return out
+
+
+def split_blocks(keyed: DataFrame, most: int, lanes: int, radius: int) -> DataFrame:
+    """`keyed` (fp, choice, bits) with the rows of blocks of more than `most` dealt to finer blocks.
+
+    A row of such a block gets 20 keys (at radius 3), however large the block is; dealt to tiles it would
+    get a number that grows with the block.
+    """
+    sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n"))
+    huge = materialise(sizes.where(F.col("n") > most).select("choice", "bits"))
+    n = huge.limit(200_001).count()
+    if not n:
+        return keyed
+    side = F.broadcast(huge) if n <= 200_000 else huge.hint("merge")
+    masks = F.from_json(F.lit(json.dumps(finer_masks(lanes, radius))), "array<array<bigint>>")
+    inside = keyed.join(side, ["choice", "bits"], "left_semi")
+    finer = F.transform(masks[F.col("choice")], lambda m, i: F.struct((1000 + F.col("choice") * 100 + i).alias("choice"), F.col("fp").bitwiseAND(m).alias("bits")))
+    return keyed.join(side, ["choice", "bits"], "left_anti").select("fp", "choice", "bits").union(inside.select("fp", F.explode(finer).alias("k")).select("fp", "k.choice", "k.bits"))
+
+
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Links (smaller, larger) that join what is within `radius` between two sets, or within one.
 
@@ -112,14 +150,16 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool, tile: i
     return np.array([u for u, _ in out], np.uint64), np.array([v for _, v in out], np.uint64)
 
 
-def near_links(distinct: DataFrame, radius: int = 3, tile_rows: int = 1024) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 3, tile_rows: int = 1024, split_rows: int = 16_384) -> DataFrame:
     """Links (a, b) whose closure is that of all pairs of `fp` within `radius` bits.
 
-    distinct: materialised, one row per fingerprint, column fp.
+    distinct: materialised, one row per fingerprint, column fp. Blocks of over `split_rows` are split by
+    further bits, those that still have over `tile_rows` are cut into tiles.
     """
     n = distinct.count()
     lanes = lane_count(n, radius)
     keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), lanes, radius)).alias("k")).select("fp", "k.choice", "k.bits")
+    keyed = split_blocks(keyed, split_rows, lanes, radius)
     sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     large = materialise(sizes.where(F.col("n") > tile_rows))
     hot = F.broadcast(large) if large.limit(200_001).count() <= 200_000 else large.hint("merge")

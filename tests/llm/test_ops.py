@@ -226,10 +226,10 @@ def test_simhash_large_blocks_and_lanes(spark):
     expect = {}
     for k, f in enumerate(signed):
         expect.setdefault(want[k], set()).add(f)
-    for rows, dense in ((32, 2048), (1024, 1)):
+    for rows, dense, split in ((32, 2048, 10**6), (1024, 1, 10**6), (32, 2048, 40), (1024, 2048, 2), (8, 1, 20)):
         old, simhash.lane_count.__defaults__ = simhash.lane_count.__defaults__, (dense,)
         try:
-            links = simhash.near_links(df, 3, tile_rows=rows)
+            links = simhash.near_links(df, 3, tile_rows=rows, split_rows=split)
             found = {}
             for r in simhash.components(links).collect():
                 found.setdefault(r["root"], set()).add(r["node"])
@@ -244,8 +244,8 @@ def test_simhash_lone_pair_in_a_large_block(spark):
     crowd = {0xABCD | sum(1 << b for b in rng.sample(range(16, 64), 24)) for _ in range(100)}
     pair = (0xABCD, 0xABCD | 1 << 20 | 1 << 40 | 1 << 60)
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in (*crowd, *pair)], "fp bigint").cache()
-    for rows in (8, 32):
-        assert pair in {(r["a"], r["b"]) for r in simhash.near_links(df, 3, tile_rows=rows).collect()}
+    for rows, split in ((8, 10**6), (32, 10**6), (8, 16), (1024, 16)):
+        assert pair in {(r["a"], r["b"]) for r in simhash.near_links(df, 3, tile_rows=rows, split_rows=split).collect()}
 
 
 def test_null_ids_go_one_by_one(spark):
