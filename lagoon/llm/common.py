@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder all executors share: the session's checkpoint folder, or (tests) a temporary one."""
+    """The folder all executors share, spark.checkpoint.dir; on a local master without one a temporary one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = os.path.join(tempfile.gettempdir(), "checkpoints")
         sc.setCheckpointDir(named)
         found = sc.getCheckpointDir()
     return found

@@ -167,6 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
                     yield pa.record_batch([pa.array(b.number[which]), pa.array(b.ids[which]), pa.array(np.concatenate([c for _, c, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["number", "query_id", "id", "score"])
 
         parts.append(materialise(slim.mapInArrow(run, "number bigint, query_id bigint, id bigint, score bigint")))
+        block.destroy()
     if not parts:
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint")
     found = parts[0]
