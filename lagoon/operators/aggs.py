@@ -153,9 +153,9 @@ def mean_test(df: DataFrame, value: str, order: str, lags: int, zero_se: str = "
 
 def concentration(df: DataFrame, key: str) -> DataFrame:
     """names, highest share and Herfindahl index of how often each key was selected."""
+    k = F.col("k").cast("double")
     c = df.groupBy(key).agg(F.count(F.lit(1)).alias("k"))
-    share = F.col("k") / F.sum("k").over(Window.partitionBy())
-    return c.withColumn("s", share).agg(F.count(F.lit(1)).alias("names"), F.max("s").alias("max_share"), F.sum(F.col("s") * F.col("s")).alias("hhi"))
+    return c.agg(F.count(F.lit(1)).alias("names"), F.try_divide(F.max(k), F.sum(k)).alias("max_share"), F.try_divide(F.sum(k * k), F.sum(k) * F.sum(k)).alias("hhi"))
 
 
 def regression_metrics(df: DataFrame, group: Sequence[str], actual: str, predicted: str) -> DataFrame:

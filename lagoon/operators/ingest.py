@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last version of each key; one aggregation with map-side combination, no sort of versions."""
+    """The last version of each key, by one aggregation with map-side combination.
+
+    Whole rows are kept in the aggregate, so Spark sorts by key on both sides of the exchange; versions
+    of a key are not sorted among themselves.
+    """
     cols = [c for c in df.columns if c not in keys]
     row = F.max_by(F.struct(*cols), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("__row")[c].alias(c) for c in cols]).select(*df.columns)

@@ -104,9 +104,9 @@ def pct_rank(x: Column | str, group: Sequence[str | Column]) -> Column:
     """
     x = _c(x)
     w = Window.partitionBy(*group)
-    ties = Window.partitionBy(*group, x)
-    rank = F.rank().over(w.orderBy(x.asc_nulls_last()))
-    return F.when(x.isNotNull(), (rank + (F.count(x).over(ties) - 1) / 2.0) / F.count(x).over(w))
+    by_value = w.orderBy(x.asc_nulls_last())
+    peers = F.count(x).over(by_value.rangeBetween(NOW, NOW))  # in the order of the rank: no exchange, no sort of its own
+    return F.when(x.isNotNull(), (F.rank().over(by_value) + (peers - 1) / 2.0) / F.count(x).over(w))
 
 
 def centred_rank(x: Column | str, group: Sequence[str]) -> Column:
@@ -131,9 +131,10 @@ def add_rsi(df: DataFrame, price: str, keys: str, time: str, n: int = 14, least:
 def ema(df: DataFrame, cols: dict[str, tuple[str, float]], keys: Sequence[str], time: Sequence[str]) -> DataFrame:
     """Exponential means y0 = x0, y = a x + (1 - a) y, a = 2 / (span + 1), as name: (column, span).
 
-    Recursive in the row before, which no window frame expresses in linear time; one pass in Arrow
-    batches over rows that are clustered by key and sorted by time. State is a few numbers a key, so a
-    hot key is streamed and never held. A missing x keeps the mean.
+    Recursive in the row before, which no window frame expresses in linear time; one vectorised pass in
+    Arrow batches over rows that are clustered by key and sorted by time. The mean so far of a batch's last
+    key goes on as first value of the next batch, so a hot key is streamed and never held. A missing x
+    keeps the mean.
     """
     out = df.select("*", *[F.lit(None).cast("double").alias(n) for n in cols])
     names = list(df.columns)
@@ -141,19 +142,18 @@ def ema(df: DataFrame, cols: dict[str, tuple[str, float]], keys: Sequence[str],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, {}
         for pdf in batches:
-            keyed = list(zip(*(pdf[k] for k in keys), strict=True))
+            if not len(pdf):
+                continue
+            groups = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+            first, last = (tuple(pdf[k].iloc[i] for k in keys) for i in (0, -1))
             for name, (col, span) in cols.items():
-                a, x, y = 2.0 / (span + 1.0), pdf[col].to_numpy(float), np.empty(len(pdf))
-                prev_key, prev = key, state.get(name, np.nan)
-                for i, k in enumerate(keyed):
-                    if k != prev_key:
-                        prev_key, prev = k, np.nan
-                    if not np.isnan(x[i]):
-                        prev = x[i] if np.isnan(prev) else a * x[i] + (1 - a) * prev
-                    y[i] = prev
-                state[name] = prev
+                before = state.get(name, np.nan) if first == key else np.nan
+                x = np.append(before, pdf[col].to_numpy(float))
+                mean = pd.Series(x).groupby(np.append(groups[0], groups), sort=False).ewm(span=span, adjust=False, ignore_na=True).mean()
+                y = mean.sort_index(level=-1).to_numpy()[1:]
+                state[name] = y[-1]
                 pdf[name] = y
-            key = keyed[-1] if keyed else key
+            key = last
             yield pdf[names + list(cols)]
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *time)

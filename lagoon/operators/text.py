@@ -131,8 +131,8 @@ def canonical_roots(df: DataFrame, key: str, digest: Column, fingerprint: str, s
         moved = new.where("__moved").limit(1).count()
         state = new.drop("__moved")
         if not moved:
-            break
-    return state
+            return state
+    raise RuntimeError(f"roots did not settle in {rounds} rounds")
 
 
 TAIL = re.compile(r"^(?:related (?:articles|stories|topics)|read more|sign up|subscribe|about the author|copyright|all rights reserved|advertisement|comments?)\b", re.I)

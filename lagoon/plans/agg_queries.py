@@ -10,7 +10,7 @@ from lagoon.operators import aggs as A
 from lagoon.operators import panel as P
 from lagoon.operators import portfolio as B
 from lagoon.operators import select as S
-from lagoon.plans.registry import ORACLES, query
+from lagoon.plans.registry import query
 from lagoon.plans.tables import RETURNS, returns, table
 
 #: r ranked by the week before as the score, this week's relative return as the target.
@@ -408,14 +408,9 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(lo, least(hi, l_extendedprice)), 2) AS winsorised, round(greatest(-10, least(10, (l_extendedprice / 1024 - 30) / nullif(abs(l_quantity - 25), 0))), 7) AS safe, CASE WHEN l_quantity = 25 THEN TRUE ELSE FALSE END AS undefined,
       least(l_linenumber, 5) / 5.0 AS saturated, CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN 'train' WHEN l_shipdate < TIMESTAMP '1997-06-01' THEN 'validation' ELSE 'test' END AS split,
       CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS code, CAST(l_returnflag = 'A' AS INTEGER) AS is_a
-    FROM lineitem, q WHERE l_orderkey % 8 = 0 AND l_quantity <> 25""",
+    FROM lineitem, q WHERE l_quantity <> 25""",
 )
 def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(table(spark, sf_dir, "lineitem"), "l_orderkey % 8 = 0 and l_quantity <> 25")
-
-
-@query("p4_p18_projections_whole", ORACLES["p4_p18_projections"].replace("l_orderkey % 8 = 0 AND ", ""))
-def projections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(table(spark, sf_dir, "lineitem"), "l_quantity <> 25")
 
 

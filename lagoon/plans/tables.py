@@ -14,7 +14,9 @@ def bars(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", unit: str
     """entity, d, open, close, volume: price bars of an entity and period from its line items."""
     li = table(spark, sf_dir, "lineitem")
     price = F.try_divide("l_extendedprice", "l_quantity")
-    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    # one number of fixed width instead of a struct, so that the aggregation is by hash: microseconds, order, line
+    micros, order = F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("decimal(17,0)"), F.col("l_orderkey").cast("decimal(14,0)")
+    at = ((micros * F.lit(10**14).cast("decimal(15,0)") + order) * F.lit(1000).cast("decimal(4,0)") + F.col("l_linenumber").cast("decimal(3,0)")).cast("decimal(38,0)")
     return (
         li.where("l_quantity <> 0")
         .groupBy(F.col(entity).alias("entity"), F.date_trunc(unit, "l_shipdate").cast("date").alias("d"))

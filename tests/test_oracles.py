@@ -31,7 +31,7 @@ def rows(df):
 
 
 def close(a, b):
-    return a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, rel_tol=1e-5, abs_tol=2e-4))
+    return a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, rel_tol=1e-6, abs_tol=1.5e-5))
 
 
 @pytest.fixture(scope="module")
