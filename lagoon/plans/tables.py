@@ -10,7 +10,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", unit: str = "week") -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", unit: str = "week", extremes: bool = False) -> DataFrame:
     """entity, d, open, close, volume: price bars of an entity and period from its line items."""
     li = table(spark, sf_dir, "lineitem")
     price = F.try_divide("l_extendedprice", "l_quantity")
@@ -20,10 +20,15 @@ def bars(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey", unit: str
     return (
         li.where("l_quantity <> 0")
         .groupBy(F.col(entity).alias("entity"), F.date_trunc(unit, "l_shipdate").cast("date").alias("d"))
-        .agg(F.min_by(price, at).alias("open"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"))
+        .agg(F.min_by(price, at).alias("open"), F.max_by(price, at).alias("close"), F.sum("l_quantity").alias("volume"), *([F.max(price).alias("high"), F.min(price).alias("low")] if extremes else []))
     )
 
 
+def ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the highest and the lowest price of the period."""
+    return bars(spark, sf_dir, extremes=True)
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, sector, country: the dimension of suppliers."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -51,3 +56,4 @@ SECTORS = """sectors AS (
 RETURNS = f"""{BARS}, {SECTORS}, returns AS (
     SELECT b.*, sector, country, close / nullif(lag(close) OVER (PARTITION BY b.entity ORDER BY d), 0) - 1 AS r
     FROM bars b JOIN sectors s ON s.entity = b.entity)"""
+OHLC = BARS.replace("sum(l_quantity) AS volume", "sum(l_quantity) AS volume, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low")
