@@ -48,7 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written to the shared folder and read again."""
+    """The stages in order over documents, each written to the shared folder and read again.
+
+    Null and empty texts are texts without words: they are not toxic, are near-duplicates of each other and
+    pack as an end mark. Of rows that repeat an id one stays. Rows without an id stay unless a row with one
+    has a near text. Empty documents give an empty result; without labels of both classes nothing is
+    toxic; without a benchmark nothing is dropped for it. Further columns of documents go along to the
+    last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -44,3 +44,35 @@ def test_slices_and_keep(spark):
     df = spark.range(10)
     for most in (100, 1):
         assert keep_rows(df, df.where("id > 6"), "id", most).count() == 3 and keep_rows(df, df.where("id > 6"), "id", most, anti=True).count() == 7
+
+
+AWKWARD = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp string, score string, part string"
+
+
+def run_on(spark, tmp_path, rows, labels, bench):
+    t = {"documents": (rows, AWKWARD), "labels": (labels, "doc_id bigint, quality int, toxic int"), "benchmark": (bench, "item_id bigint, text string")}
+    for name, (some, kind) in t.items():
+        spark.createDataFrame(some, kind).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_awkward_tables(spark, tmp_path):
+    passage = "a passage of the benchmark that is told apart from all else by its words"
+    extra = ("en", None, 1, "x", "x", "x", "x")
+    calm = [f"calm{i} is what document {i} says about {i * 7} things of its own kind" for i in range(200)]
+    rows = [(i, t, *extra) for i, t in enumerate(calm)]
+    rows += [(300 + i, f"{t} you nasty scoundrel", *extra) for i, t in enumerate(calm[:60])]
+    rows += [(500, calm[0], *extra), (501, None, *extra), (502, "", *extra), (None, "a text without an id", *extra), (503, f"before {passage} after", *extra), (504, "word and more " * 20_000, *extra), (1, calm[1], *extra), (None, calm[2], *extra)]
+    labels = [(i, 1, 0) for i in range(200)] + [(300 + i, 1, 1) for i in range(60)] + [(None, 1, 1), (0, None, None), (1, 1, 0)]
+    out = run_on(spark, tmp_path, rows, labels, [(1, passage), (2, None), (3, "")]).collect()
+    left = {r["doc_id"] for r in out}
+    # 502 has the fingerprint of 501, no text being an empty one; 300.. are toxic, 500 a copy of 0, 503 repeats the benchmark
+    assert left >= {*range(200), 501, 504, None} and not left & {*range(300, 360), 500, 502, 503}
+    assert sum(r["doc_id"] == 1 for r in out) == 1 and sum(r["doc_id"] is None for r in out) == 1
+    assert len({(r["doc_id"], r["piece"]) for r in out}) == len(out)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run_on(spark, tmp_path, [], [], []).count() == 0
+    rows = [(1, "one text of some words", "en", "s", 1, "x", "x", "x", "x")]
+    assert run_on(spark, tmp_path, rows, [], []).count() == 1
