@@ -232,13 +232,13 @@ def raw_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p13_p14_p17_blends",
     f"""WITH {SCORED}, k AS (SELECT entity, d, score, target, volume, {RANKED.format(g="d, sector", x="volume")} AS sp, {RANKED.format(g="d", x="volume")} AS rv, {RANKED.format(g="d", x="score")} AS rs FROM scored)
-    SELECT entity, d, round(rs - 0.5, 6) AS overall_rank, round(sp - 0.5, 6) AS specialist_rank, round(rs - 0.5 + 0.75 * (sp - 0.5), 5) AS blend, round((rv + rs) / 2, 6) AS risk, round(CASE WHEN volume - 50 > 0 THEN score + 0.5 * target ELSE score END, 6) AS corrected, greatest(0, least(1, round(score, 6))) AS share, greatest(-1, least(1, round(target, 6))) AS signed, greatest(0, round_even(volume / 10, 0)) AS counted FROM k""",
+    SELECT entity, d, round(rs - 0.5, 6) AS overall_rank, round(sp - 0.5, 6) AS specialist_rank, round(rs - 0.5 + 0.75 * (sp - 0.5), 7) AS blend, round((rv + rs) / 2, 6) AS risk, round(CASE WHEN volume - 50 > 0 THEN score + 0.5 * target ELSE score END, 6) AS corrected, greatest(0, least(1, round(score, 6))) AS share, greatest(-1, least(1, round(target, 6))) AS signed, greatest(0, round_even(volume / 10, 0)) AS counted FROM k""",
 )
 def blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = N.blended(scored(spark, sf_dir).withColumn("spare", F.col("volume") - 50), "d", "sector", "score", "volume", 0.75)
     x = x.withColumns({"risk": N.mean_rank(["volume", "score"], ["d"]), "corrected": N.gated("score", "target", N.active(["spare"]), 0.5), "share": F.round("score", 6), "signed": F.round("target", 6), "counted": F.col("volume") / 10})
     x = N.bounded(x, ["share"], ["signed"], ["counted"])
-    return _round(_round(x.select("entity", "d", "overall_rank", "specialist_rank", "blend", "risk", "corrected", "share", "signed", "counted"), "blend", digits=5), "overall_rank", "specialist_rank", "risk", "corrected")
+    return _round(_round(x.select("entity", "d", "overall_rank", "specialist_rank", "blend", "risk", "corrected", "share", "signed", "counted"), "blend", digits=7), "overall_rank", "specialist_rank", "risk", "corrected")
 
 
 @query(
