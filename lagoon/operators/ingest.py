@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.joins import asof_join
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last version of each key, by one aggregation with map-side combination.
@@ -69,21 +71,30 @@ def wide_vintages(df: DataFrame, date: str, prefix: str = "vintage_") -> DataFra
 
 
 def vintage_replay(df: DataFrame, series: str, observation: str, released: str, value: str) -> DataFrame:
-    """Per series and release: what was then the latest observation and its level, the change from the
-    observation before as then known, and the revision of the previous release's level.
+    """Per series and release: the latest observation then known and its level, the change from the observation
+    before it as then known, the change of level since the release before, and revision_delta, the mean change
+    of the observations that the release gave anew (0 if it gave none).
 
-    A release knows, of every observation, the last value published by then. Observations meet releases by
-    an equi-join on the series (the calendar of a series is small) and keep the last version at or before.
+    Of several values of one observation in one release the greatest counts. The two latest observations are
+    running maxima over a series' releases; their values are as-of joins by observation. All steps are linear
+    in the number of versions: releases never meet versions by a range.
     """
-    versions = df.groupBy(series, observation, released).agg(F.max(value).alias(value))
-    w = Window.partitionBy(series, observation).orderBy(released)
-    spans = versions.withColumn("__until", F.lead(released).over(w))
-    releases = versions.select(series, F.col(released).alias("__at")).distinct()
-    known = releases.join(spans, series).where((F.col(released) <= F.col("__at")) & (F.col("__until").isNull() | (F.col("__at") < F.col("__until"))))
-    top = known.groupBy(series, "__at").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col(observation).alias("o"), F.col(value).alias("v"))), asc=False), 1, 2).alias("t"))
-    out = top.select(series, F.col("__at").alias(released), F.col("t")[0]["o"].alias("latest"), F.col("t")[0]["v"].alias("level"), (F.col("t")[0]["v"] - F.get("t", F.lit(1))["v"]).alias("period_change"))
-    before = Window.partitionBy(series).orderBy(released)
-    return out.withColumn("release_delta", F.col("level") - F.lag("level").over(before))
+    versions = df.select(F.col(series).alias("s"), F.col(observation).alias("o"), F.col(released).alias("t"), F.col(value).alias("v")).where("s is not null and o is not null and t is not null and v is not null").groupBy("s", "o", "t").agg(F.max("v").alias("v"))
+    steps = versions.withColumn("__step", F.col("v") - F.lag("v").over(Window.partitionBy("s", "o").orderBy("t")))
+    by_time = Window.partitionBy("s").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = F.row_number().over(Window.partitionBy("s", "o").orderBy("t")) == 1  # later versions of an observation name no new one
+    d = steps.withColumn("__new", F.when(fresh, F.col("o")))
+    d = d.withColumn("__top", F.max("__new").over(by_time))
+    d = d.withColumn("__before", F.lag("__top").over(Window.partitionBy("s").orderBy("t", "o")))
+    d = d.withColumn("__second", F.when(F.col("__new").isNotNull() & F.col("__before").isNotNull(), F.least("__new", "__before")))
+    d = d.withColumn("__next", F.max("__second").over(by_time))
+    known = d.groupBy("s", "t").agg(F.max("__top").alias("latest"), F.max("__next").alias("__prior"), F.coalesce(F.avg("__step"), F.lit(0.0)).alias("revision_delta"))
+    names = known.select("s", "t", "revision_delta", F.explode(F.array_compact(F.array(F.struct(F.lit(True).alias("top"), F.col("latest").alias("o")), F.when(F.col("__prior").isNotNull(), F.struct(F.lit(False).alias("top"), F.col("__prior").alias("o")))))).alias("n"))
+    valued = asof_join(names.select("s", "t", "revision_delta", "n.top", "n.o"), versions, ["s", "o"], "t", "t", ["v"])
+    side = lambda top, c: F.max(F.when(F.col("top") == top, F.col(c)))
+    out = valued.groupBy("s", "t").agg(side(True, "o").alias("latest"), side(True, "v").alias("level"), (side(True, "v") - side(False, "v")).alias("period_change"), F.max("revision_delta").alias("revision_delta"))
+    out = out.withColumn("release_delta", F.col("level") - F.lag("level").over(Window.partitionBy("s").orderBy("t")))
+    return out.select(F.col("s").alias(series), F.col("t").alias(released), "latest", "level", "period_change", "release_delta", "revision_delta")
 
 
 def pending(queue: DataFrame, ledger: DataFrame, key: str, done: Sequence[str] = ("ok", "empty"), retry: Sequence[str] = ()) -> DataFrame:

@@ -72,6 +72,22 @@ def walk_forward(df: DataFrame, year: str, label_end: str, features: Sequence[st
     return df.where(F.col(year).isin(list(years))).withColumn("prediction", score if score is not None else F.lit(None).cast("double"))
 
 
+def cross_fitted(df: DataFrame, year: str, label_end: str, features: Sequence[str], target: str, years: Sequence[int], alpha: float, active: Column, known: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold predictions of the active rows of each year, by a fit on all rows of years before.
+
+    Purged as in `walk_forward`; training takes inactive rows too. Years that `known` (an earlier result with
+    the same columns) covers are taken from there and not fitted again. A year without a fit or without
+    active rows is an error.
+    """
+    done = {r[0] for r in known.select(year).distinct().collect()} & set(years) if known is not None else set()  # as many as folds
+    wanted = [y for y in years if y not in done]
+    out = walk_forward(df, year, label_end, features, target, wanted, 10**6, alpha).where(active)
+    found = {r[0]: r[1] for r in out.groupBy(year).agg(F.count("prediction")).collect()}
+    if missing := [y for y in wanted if not found.get(y)]:
+        raise ValueError(f"no training rows or no active rows for {missing}")
+    return out if known is None else out.unionByName(known.where(F.col(year).isin([*done])).select(*out.columns))
+
+
 def choose_alpha(df: DataFrame, fold: str, train: Sequence, valid: Sequence, features: Sequence[str], target: str, alphas: Sequence[float]) -> list[tuple[float, float]]:
     """(mean squared error, alpha) on the validation folds, best first; from Gram matrices, so the grid costs no pass."""
     by = grams(df, fold, features, target)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def tails(df: DataFrame, score: str, group: Sequence[str], tie: str, fraction: float, least: int = 1) -> DataFrame:
@@ -102,6 +105,46 @@ def capped_greedy(df: DataFrame, split: str, score: str, tie: str, caps: dict[st
     return out.groupBy(split).applyInPandas(pick, out.schema)
 
 
+def quota_balanced(df: DataFrame, split: str, score: str, ties: Sequence[str], key: str, period: str, sector: str, quota: int, share: float = 0.7) -> DataFrame:
+    """Up to `quota` rows of each split with reason: the best of them under caps, the rest in turns.
+
+    `share` of the quota goes by score, ties ascending, skipping rows whose key already has three times, or whose
+    period twice, an even part (at least 2 each): reason high_importance. The rest is dealt in turns from
+    (period, sector), null sectors as Unknown: reason balanced_coverage. Choices depend on those before, so
+    a split is one task; only what can be taken goes there: the first `quota` rows of each (key, period, sector) in order.
+    """
+    most = max(quota, 0)
+    if not most:
+        return df.limit(0).withColumn("reason", F.lit(None).cast("string"))
+    order = [F.col(score).desc(), *ties]
+    sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("__rows"), F.count_distinct(key).alias("__keys"), F.count_distinct(period).alias("__periods"))
+    short = smallest(df, [split, key, period, sector], most, order).join(sizes, split)
+    columns = df.columns
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked = pdf.sort_values([score, *ties], ascending=[False, *[True] * len(ties)], kind="stable").reset_index(drop=True)
+        n = min(most, int(ranked["__rows"].iloc[0]))
+        first = min(n, math.ceil(n * share))
+        caps = {key: max(2, math.ceil(first / max(int(ranked["__keys"].iloc[0]), 1) * 3)), period: max(2, math.ceil(first / max(int(ranked["__periods"].iloc[0]), 1) * 2))}
+        used: Counter = Counter()
+        best: list[int] = []
+        for i, pair in enumerate(zip(ranked[key], ranked[period], strict=True)):
+            if len(best) == first:
+                break
+            marks = list(zip(caps, pair, strict=True))
+            if all(used[m] < caps[m[0]] for m in marks):
+                best.append(i)
+                used.update(marks)
+        rest = ranked.drop(index=best)
+        groups = [rest[period].astype(str), rest[sector].fillna("").replace("", "Unknown")]
+        turns = rest.assign(__turn=rest.groupby(groups, sort=False).cumcount(), __g0=groups[0], __g1=groups[1]).sort_values(["__turn", "__g0", "__g1"], kind="stable")
+        dealt = turns.head(n - len(best))
+        return pd.concat([ranked.loc[best].assign(reason="high_importance"), dealt.assign(reason="balanced_coverage")])[[*columns, "reason"]]
+
+    kind = StructType([*df.schema.fields, StructField("reason", StringType())])
+    return short.groupBy(split).applyInPandas(pick, kind)
+
+
 def robust_scale(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Rows with centre (median) and scale: 1.4826 MAD, or the population deviation if that is 0."""
     w = Window.partitionBy(*group)  # one exchange for all four figures; the table is read once

@@ -208,7 +208,7 @@ def _json_shapes(li: DataFrame) -> DataFrame:
 )
 def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("s"), (F.col("user_id") % 12).alias("o"), F.to_date("ts").alias("r"), F.col("value").alias("v"))
-    out = I.vintage_replay(e, "s", "o", "r", "v")
+    out = I.vintage_replay(e, "s", "o", "r", "v").drop("revision_delta")
     return out.withColumns({c: F.round(c, 6) for c in ("period_change", "release_delta")})
 
 
