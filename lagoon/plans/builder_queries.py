@@ -65,7 +65,7 @@ def _fundamental_sql() -> str:
     {", ".join(f"r_{m} AS (SELECT cik, fiscal_period, period_end, lag({m}) OVER (PARTITION BY cik, fiscal_period ORDER BY period_end) AS prior_{m} FROM (SELECT cik, fiscal_period, period_end, arg_min({m}, q) AS {m} FROM e WHERE {m} IS NOT NULL AND period_end IS NOT NULL AND fiscal_period IS NOT NULL GROUP BY 1, 2, 3))" for m in D.GROWTH)},
     g AS (SELECT e.*, {", ".join(f"prior_{m}" for m in D.GROWTH)}, {", ".join(f"last_value({m} IGNORE NULLS) OVER w AS f_{m}" for m in D.NAMES)} FROM e {" ".join(f"LEFT JOIN r_{m} USING (cik, fiscal_period, period_end)" for m in D.GROWTH)} WINDOW w AS (PARTITION BY cik ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     o AS (SELECT accession, cik, form, q, period_end, fiscal_period, CAST(fiscal_year AS INTEGER) AS fiscal_year, {", ".join(f"{sql} AS {name}" for name, sql in feature.items())} FROM g)
-    SELECT s_name AS ticker, accession, form, CAST(period_end AS DATE) AS period_end, fiscal_period, fiscal_year, (SELECT min(day) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) WHERE day > q + 119) AS trade_date, {", ".join(f"round({c}, 6) AS {c}" for c in D.FEATURES)}
+    SELECT s_name AS ticker, accession, form, CAST(period_end AS DATE) AS period_end, fiscal_period, CAST(fiscal_year AS DOUBLE) AS fiscal_year, (SELECT min(day) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) WHERE day > q + 119) AS trade_date, {", ".join(f"round({c}, 6) AS {c}" for c in D.FEATURES)}
     FROM o JOIN supplier ON s_suppkey = cik WHERE (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) > q + 119 AND {" + ".join(f"(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END)" for c in D.FEATURES)} >= 5 QUALIFY row_number() OVER (PARTITION BY s_name, trade_date ORDER BY q DESC) = 1"""
 
 
@@ -75,7 +75,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
     who = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cik"), F.col("s_name").alias("ticker"))
     out = D.filing_snapshots(D.fundamental_features(D.chosen_facts(facts, filings)), who, sessions, "day", 5)
-    return _round(out, *D.FEATURES).select("ticker", "accession", "form", "period_end", "fiscal_period", "fiscal_year", "trade_date", *D.FEATURES)
+    return _round(out, *D.FEATURES).select("ticker", "accession", "form", "period_end", "fiscal_period", F.col("fiscal_year").cast("double"), "trade_date", *D.FEATURES)
 
 
 ZSCORE = "CASE WHEN (CASE WHEN count({x}) OVER {p} >= {k} THEN stddev_samp({x}) OVER {p} WHEN count({x}) OVER {a} >= {k} THEN stddev_samp({x}) OVER {a} END) > 0 THEN greatest(-5, least(5, ({x} - CASE WHEN count({x}) OVER {p} >= {k} THEN avg({x}) OVER {p} ELSE avg({x}) OVER {a} END) / (CASE WHEN count({x}) OVER {p} >= {k} THEN stddev_samp({x}) OVER {p} ELSE stddev_samp({x}) OVER {a} END))) END"
