@@ -13,6 +13,12 @@ def day_range(spark: SparkSession, first: str, last: str, name: str, step: str =
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"interval {step}"))).alias(name))
 
 
+def span_of(df: DataFrame, col: str, name: str, step: str = "1 day") -> DataFrame:
+    """Dates from the least to the greatest of a column; none for an empty table."""
+    ends = df.agg(F.min(col).cast("date").alias("__a"), F.max(col).cast("date").alias("__b")).where("__a is not null")
+    return ends.select(F.explode(F.sequence("__a", "__b", F.expr(f"interval {step}"))).alias(name))
+
+
 def session_gaps(sessions: DataFrame, col: str) -> DataFrame:
     """Each session with its place and the one before: (after, session, place) covers dates after < d <= session."""
     w = Window.orderBy(col)

@@ -372,14 +372,14 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t20_t21_unpivot_dates",
-    """WITH q AS (SELECT CAST(unnest(generate_series(DATE '1993-01-01', DATE '1998-12-31', INTERVAL 3 MONTH)) AS DATE) AS q), o AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1), w AS (SELECT q.q, coalesce(n, 0)::DOUBLE AS n, coalesce(v, 0) AS v FROM q LEFT JOIN o USING (q))
+    """WITH q AS (SELECT CAST(unnest(generate_series((SELECT CAST(date_trunc('quarter', min(o_orderdate)) AS DATE) FROM orders), (SELECT CAST(date_trunc('quarter', max(o_orderdate)) AS DATE) FROM orders), INTERVAL 3 MONTH)) AS DATE) AS q), o AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1), w AS (SELECT q.q, coalesce(n, 0)::DOUBLE AS n, coalesce(v, 0) AS v FROM q LEFT JOIN o USING (q))
     SELECT q, m AS measure, round(x, 2) AS x FROM (UNPIVOT w ON n, v INTO NAME m VALUE x)""",
 )
 def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lagoon.operators.calendar import day_range
+    from lagoon.operators.calendar import span_of
 
-    q = day_range(spark, "1993-01-01", "1998-12-31", "q", "3 months")
     o = table(spark, sf_dir, "orders").groupBy(F.date_trunc("quarter", "o_orderdate").cast("date").alias("q")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("o_totalprice").alias("v"))
+    q = span_of(o, "q", "q", "3 months")
     return q.join(o, "q", "left").na.fill(0.0).unpivot("q", ["n", "v"], "measure", "x").withColumn("x", F.round("x", 2))
 
 

@@ -177,7 +177,7 @@ def long_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "m5_cross_fitted",
     f"""WITH {RETURNS}, b0 AS (SELECT entity, d, CASE WHEN r > 1 THEN 1 WHEN r < -1 THEN -1 ELSE r END AS r, volume FROM returns), x AS (SELECT entity, d, year(d) AS y, r, volume, lag(r) OVER w AS f, lead(d) OVER w AS e FROM b0 WINDOW w AS (PARTITION BY entity ORDER BY d)),
-    c AS (SELECT x.*, coalesce(f, 0) AS f0 FROM x WHERE r IS NOT NULL AND e IS NOT NULL), yr AS (SELECT unnest([1996, 1997, 1998]) AS py),
+    c AS (SELECT x.*, coalesce(f, 0) AS f0 FROM x WHERE r IS NOT NULL AND e IS NOT NULL), yr AS (SELECT unnest([1996, 1997, 1998, 1999, 2000, 2001]) AS py),
     g AS (SELECT py, avg(f0) AS mf, avg(r) AS mr, sum(f0 * f0) - count(*) * avg(f0) * avg(f0) AS sxx, sum(f0 * r) - count(*) * avg(f0) * avg(r) AS sxy FROM c JOIN yr ON y < py AND year(e) < py GROUP BY 1)
     SELECT entity, d, round((mr - sxy / (sxx + 10.0) * mf) + sxy / (sxx + 10.0) * coalesce(f, 0), 6) AS prediction FROM x JOIN g ON y = py WHERE volume > 30""",
 )
@@ -185,7 +185,7 @@ def cross_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ordered("entity", "d")
     x = returns(spark, sf_dir)
     x = x.select("entity", "d", "volume", F.year("d").alias("y"), X.clip("r", -1.0, 1.0).alias("r"), X.clip(F.lag("r").over(w), -1.0, 1.0).alias("f"), F.lead("d").over(w).alias("e"))
-    return _round(M.cross_fitted(x, "y", "e", ["f"], "r", [1996, 1997, 1998], 10.0, F.col("volume") > 30).select("entity", "d", "prediction"), "prediction")
+    return _round(M.cross_fitted(x, "y", "e", ["f"], "r", list(range(1996, 2002)), 10.0, F.col("volume") > 30).select("entity", "d", "prediction"), "prediction")
 
 
 @query(

@@ -123,7 +123,7 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x6_transaction_windows",
-    """WITH days AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-06-28', INTERVAL 1 DAY)) AS DATE) AS d), keys AS (SELECT DISTINCT s_nationkey AS k FROM supplier),
+    """WITH days AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem), INTERVAL 1 DAY)) AS DATE) AS d), keys AS (SELECT DISTINCT s_nationkey AS k FROM supplier),
     t AS (SELECT s_nationkey AS k, CAST(l_shipdate AS DATE) AS d, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS bv, count(*) FILTER (l_returnflag = 'R') AS bc, count(*) FILTER (l_returnflag = 'R' AND l_tax > 0.05) AS bp, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0 END) AS sv, count(*) FILTER (l_returnflag = 'N') AS sc, count(*) FILTER (l_returnflag = 'N' AND l_tax > 0.05) AS sp FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
     g AS (SELECT k, d, coalesce(bv, 0) AS bv, coalesce(bc, 0) AS bc, coalesce(bp, 0) AS bp, coalesce(sv, 0) AS sv, coalesce(sc, 0) AS sc, coalesce(sp, 0) AS sp, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM keys CROSS JOIN days LEFT JOIN t USING (k, d))
     SELECT k, d, round(ln(1 + sum(bv) OVER w), 6) AS w5_purchase_log, round(ln(1 + sum(sv) OVER w), 6) AS w5_sale_log, round(ln(1 + sum(bv) OVER w) - ln(1 + sum(sv) OVER w), 6) AS w5_net_log, CAST(sum(bc) OVER w AS DOUBLE) AS w5_purchase_count, CAST(sum(sc) OVER w AS DOUBLE) AS w5_sale_count,
@@ -131,14 +131,14 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM g WINDOW w AS (PARTITION BY k ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), a AS (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lagoon.operators.calendar import day_range, densify
+    from lagoon.operators.calendar import span_of
 
     is_, planned = (lambda f: F.col("l_returnflag") == f), F.col("l_tax") > 0.05
     value = lambda c: F.sum(F.when(c, F.col("l_extendedprice")).otherwise(0.0))
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     sides = [(is_("R"), "purchase"), (is_("N"), "sale")]
     daily = li.groupBy(F.col("s_nationkey").alias("k"), F.to_date("l_shipdate").alias("d")).agg(*[e for c, s in sides for e in (value(c).alias(f"{s}_value"), F.count_if(c).alias(f"{s}_count"), F.count_if(c & planned).alias(f"planned_{s}_count"))])
-    days = day_range(spark, "1996-01-01", "1996-06-28", "d")
+    days = span_of(table(spark, sf_dir, "lineitem"), "l_shipdate", "d")
     keys = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
     dense = keys.join(F.broadcast(days)).join(daily, ["k", "d"], "left")  # the result itself: every key on every session
     made = N.transaction_features(dense, "k", "d", ["purchase_count", "sale_count"], (5,))
@@ -211,12 +211,12 @@ def gate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x15_event_summary",
-    f"""WITH {SCORED}, sp AS (SELECT * FROM (VALUES ('all', DATE '1992-01-01', DATE '1998-12-31'), ('late', DATE '1996-01-01', DATE '1998-12-31'), ('none', DATE '2050-01-01', DATE '2050-12-31')) AS v(name, a, b)), h AS (SELECT name, score, target FROM scored JOIN sp ON d BETWEEN a AND b),
+    f"""WITH {SCORED}, sp AS (SELECT * FROM (VALUES ('all', DATE '1992-01-01', DATE '2099-12-31'), ('late', DATE '1996-01-01', DATE '1998-12-31'), ('none', DATE '2050-01-01', DATE '2050-12-31')) AS v(name, a, b)), h AS (SELECT name, score, target FROM scored JOIN sp ON d BETWEEN a AND b),
     k AS (SELECT *, {RANKED.format(g="name", x="score")} AS p, {RANKED.format(g="name", x="target")} AS t FROM h)
     SELECT name, CAST(count(*) AS BIGINT) AS events, round(corr(p, t), 6) AS ic, round(avg(CAST(sign(score) = sign(target) AS DOUBLE)) FILTER (score <> 0 AND target <> 0), 6) AS sign_accuracy, round(avg(score), 6) AS mean_predicted, round(avg(target), 6) AS mean_realised FROM k GROUP BY 1""",
 )
 def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    splits = spark.sql("SELECT * FROM VALUES ('all', DATE '1992-01-01', DATE '1998-12-31'), ('late', DATE '1996-01-01', DATE '1998-12-31'), ('none', DATE '2050-01-01', DATE '2050-12-31') AS v(name, first, last)")
+    splits = spark.sql("SELECT * FROM VALUES ('all', DATE '1992-01-01', DATE '2099-12-31'), ('late', DATE '1996-01-01', DATE '1998-12-31'), ('none', DATE '2050-01-01', DATE '2050-12-31') AS v(name, first, last)")
     return _round(V.event_summary(scored(spark, sf_dir), splits, "d", "score", "target"), "ic", "sign_accuracy", "mean_predicted", "mean_realised")
 
 
