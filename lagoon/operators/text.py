@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +26,10 @@ def content_hash(x: Column | str) -> Column:
 
 
 def paragraph_key(x: Column | str) -> Column:
-    """A paragraph's form for comparison: no links, digits as #, lower case, single spaces."""
-    x = F.regexp_replace(F.lower(x), r"https?://\S+", " ")
-    x = F.regexp_replace(x, r"[0-9]+", "#")
-    return F.trim(F.regexp_replace(x, r"[^\p{L}#]+", " "))
+    """A paragraph's form for comparison: its words in lower case, without links and numbers."""
+    x = F.regexp_replace(F.lower(x), r"https?://\S+", "")
+    x = F.regexp_replace(x, r"\p{Nd}+", "#")
+    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "))
 
 
 def domain(url: Column | str) -> Column:
@@ -135,54 +136,138 @@ def canonical_roots(df: DataFrame, key: str, digest: Column, fingerprint: str, s
     raise RuntimeError(f"roots did not settle in {rounds} rounds")
 
 
-TAIL = re.compile(r"^(?:related (?:articles|stories|topics)|read more|sign up|subscribe|about the author|copyright|all rights reserved|advertisement|comments?)\b", re.I)
-NOISE = re.compile(r"^(?:(?i:share(?: this)?(?: article)?|print|email|follow us.*|advertisement|sponsored|loading\W*|click here.*|photo(?: credit)?:.*|image:.*)|[Bb]y [A-Z][\w.'-]+(?: [A-Z][\w.'-]+){0,3})$")
+# What marks a paragraph as furniture of a page, the head of a promotional tail, a credit, a byline,
+# a note on the author; and titles that say nothing.
+FURNITURE = [
+    r"^(sign up|subscribe)\b.*(newsletter|updates?|news)",
+    r"^(already|not yet) (a )?subscriber\b",
+    r"^(log in|sign in|register)( to| for)?\b",
+    r"^(read|click|tap) (more|here)\b",
+    r"^(share|print|save) (this|the) (article|story)\b",
+    r"^follow (us|the .*?) on (facebook|twitter|x|instagram|youtube)\b",
+    r"^follow .{1,100} on (facebook|twitter|x|instagram|youtube)\b",
+    r"^(recommended|related|more) (stories|articles|content)\b",
+    r"^comments? (have|must|are|will)\b",
+    r"^(privacy policy|terms (of use|and conditions)|cookie settings)$",
+    r"^get (the )?(editor'?s|latest|top|breaking)\b.*(newsletter|insights?|news)",
+    r"^stay in the know\b",
+    r"^klix\.ba čitajte i u našoj aplikaciji\b",
+    r"^this article originally appeared on\b",
+    r"^contributing:\s+",
+    r"^photo\s*:\s*.+(?:getty|images?|ap|reuters)\b",
+    r"^check all issues\s*&\s*supplements\.?$",
+    r"^article continues below (this )?ad\.?$",
+    r"^currently receiving \d+ of \d+ possible notifications\b",
+    r"^sorry we are not currently accepting comments\b",
+    r"^[_\-–—]{8,}$",
+    r"^©.*all rights reserved\.?$",
+]
+TAIL_HEADS = [
+    r"^be the first to know when news breaks\.?$",
+    r"^today'?s top stories curated by our news team\.?$",
+    r"^your digital replica of today'?s paper\b",
+    r"^sharp\. close to the ground\. digging deep\.",
+    r"^every saturday and tuesday, explore destinations\b",
+    r"^your essential national news digest\b",
+    r"^get news, reviews and expert insights every thursday\b",
+    r"^real local, smart property news\b",
+    r"^test your skills with interactive crosswords\b",
+    r"^temi più discussi\s*:",
+]
+CREDIT = r"^(australian associated press|associated press|reuters|afp|copyright .+|.{2,100},\s*the associated press)$"
+BYLINE = r"^(?:by\s+)[\w .,'’\-]{2,100}$"
+AUTHOR_NOTE = r"\b(is (a|an) (writer|reporter|editor)|follow (him|her|them) on|contributed to this report)\b"
+EMPTY_TITLE = r"^(home|homepage|latest news|breaking news|global news|news|welcome)(\s*[|\-].*)?$"
+
+_ANY_FURNITURE, _ANY_TAIL = ([re.compile(p, re.I) for p in some] for some in (FURNITURE, TAIL_HEADS))
+_CREDIT, _BYLINE, _NOTE, _EMPTY_TITLE = (re.compile(p, re.I) for p in (CREDIT, BYLINE, AUTHOR_NOTE, EMPTY_TITLE))
+_LINK, _DIGITS, _WORD = re.compile(r"https?://\S+"), re.compile(r"\d+"), re.compile(r"\w+")
+
+
+def compared_form(paragraph: str) -> str:
+    """`paragraph_key` of one text, in Python."""
+    return " ".join(_WORD.findall(_DIGITS.sub("#", _LINK.sub("", paragraph.lower()))))
+
+
+def _is_noise(paragraph: str, at: int, n: int) -> bool:
+    """Furniture anywhere; at the edges (first two, last three) author notes and credits; a byline at the head."""
+    if any(p.search(paragraph) for p in _ANY_FURNITURE) or (at == 0 and _BYLINE.fullmatch(paragraph)):
+        return True
+    return (at < 2 or at >= n - 3) and bool(_NOTE.search(paragraph) or _CREDIT.fullmatch(paragraph))
+
+
+def _without_fragments(paragraphs: Sequence[str]) -> list[str]:
+    """Each text once; of neighbours, one of which holds the other (60 characters and 35 % of it at least), the longer."""
+    part_of = lambda a, b: len(a) >= 60 and a in b and len(a) >= 0.35 * len(b)
+    kept: dict[str, str] = {}  # form to paragraph, in order
+    last = None
+    for p in paragraphs:
+        form = compared_form(p)
+        if form in kept or (last is not None and not part_of(last, form) and part_of(form, last)):
+            continue
+        if last is not None and part_of(last, form):
+            del kept[last]
+        kept[form], last = p, form
+    return list(kept.values())
 
 
-def clean_paragraphs(paragraphs: Sequence[str], boilerplate: frozenset[str] = frozenset(), key: Callable[[str], str] = str.casefold) -> list[str]:
-    """Paragraphs without noise and boilerplate, cut at a tail heading in the later half.
+def clean_article(raw: str | None, title: str | None = None, known: Sequence[bool] = (), delimiter: str = "\n\n") -> tuple[str, int, float, str, list[str]]:
+    """(text, words, score, status, reasons) of one article.
 
-    Of neighbours one of which contains the other the longer stays; what is kept depends on the last kept.
+    Paragraphs are single-spaced and blank ones skipped. From a promotional heading on (behind the first two
+    and the first two fifths) all goes; then noise, paragraphs that `known` marks as boilerplate (by their
+    place in raw) and repeated fragments. The score starts at 1 and loses for few words, a single
+    paragraph, no telling title and much removed. rejected: under 40 words or a score under 0.35; questionable:
+    under 100 or 0.7; else usable.
     """
-    kept: list[str] = []
-    n = len(paragraphs)
-    for i, p in enumerate(paragraphs):
-        p = " ".join(p.split())
-        if not p or NOISE.match(p) or key(p) in boilerplate:
-            continue
-        if i * 2 >= n and TAIL.match(p) and len(p) < 80:
-            break
-        if kept:
-            a, b = kept[-1].casefold(), p.casefold()
-            if b in a:
-                continue
-            if a in b:
-                kept[-1] = p
-                continue
-        kept.append(p)
-    return kept
-
-
-def clean_articles(df: DataFrame, text: str, delimiter: str = "\n", least_words: int = 80, boilerplate: str | None = None) -> DataFrame:
-    """Adds cleaned, clean_words, quality_score and quality_status (usable, short, empty).
-
-    boilerplate: a column of paragraph keys; paragraphs with one of them are left out, in their place an empty one.
-    The order-dependent part is one Arrow batch function over the text; the rest are expressions.
+    flags = dict(enumerate(known))
+    every = [(" ".join(p.split()), bool(flags.get(i))) for i, p in enumerate((raw or "").split(delimiter)) if p.strip()]
+    behind = max(2, int(len(every) * 0.4))
+    end = next((i for i in range(behind, len(every)) if any(p.search(every[i][0]) for p in _ANY_TAIL)), len(every))
+    body = [p for i, (p, boiler) in enumerate(every[:end]) if not boiler and not _is_noise(p, i, end)]
+    kept = _without_fragments(body)
+    text = delimiter.join(kept).strip()
+    n, gone = len(_WORD.findall(text)), len(every) - len(kept)
+    short = clean_title_text(title)
+    losses = [
+        ("promotional_tail_removed", end < len(every), 0.0),
+        ("duplicate_fragments_removed", len(kept) < len(body), 0.0),
+        ("too_short", n < 40, 0.75),
+        ("short_article", 40 <= n < 100, 0.25),
+        ("single_paragraph", len(kept) <= 1, 0.15),
+        ("missing_or_generic_title", not short or bool(_EMPTY_TITLE.match(short)), 0.25),
+        ("mostly_boilerplate", gone > 0.4 * len(every), 0.3),
+    ]
+    score = max(0.0, 1.0 - sum(loss for _, holds, loss in losses if holds))
+    status = "rejected" if n < 40 or score < 0.35 - 1e-9 else "questionable" if n < 100 or score < 0.7 - 1e-9 else "usable"
+    return text, n, score, status, [name for name, holds, _ in losses if holds]
+
+
+def clean_title_text(title: str | None) -> str:
+    """A title single-spaced, up to its first spaced bar."""
+    return " ".join((title or "").split()).split(" | ", 1)[0].strip()
+
+
+def clean_articles(df: DataFrame, text: str, delimiter: str = "\n", boilerplate: str | None = None, title: str | None = None) -> DataFrame:
+    """Adds cleaned, clean_words, quality_score, quality_status and quality_reasons: `clean_article` of every row.
+
+    boilerplate: a column of paragraph keys; which paragraphs have one of them is found by expressions, and only
+    those marks go to the one Arrow batch function that reads the text.
     """
+    kind = "struct<cleaned: string, clean_words: bigint, quality_score: double, quality_status: string, quality_reasons: array<string>>"
 
-    @F.pandas_udf(T.StringType())
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return pd.Series([delimiter.join(clean_paragraphs((t or "").split(delimiter))) for t in texts], dtype="object")
+    @F.pandas_udf(kind)
+    def cleaned(texts: pd.Series, titles: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        rows = [clean_article(t, h, () if m is None else m, delimiter) for t, h, m in zip(texts, titles, marks, strict=True)]
+        return pd.DataFrame(rows, columns=["cleaned", "clean_words", "quality_score", "quality_status", "quality_reasons"])
 
-    body = F.col(text)
+    marks = F.lit(None).cast("array<boolean>")
     if boilerplate is not None:
-        known = F.coalesce(F.col(boilerplate), F.array().cast("array<string>"))
-        body = F.when(F.size(known) == 0, body).otherwise(F.array_join(F.transform(F.split(body, re.escape(delimiter)), lambda p: F.when(F.array_contains(known, paragraph_key(p)), "").otherwise(p)), delimiter))
-    out = df.withColumn("cleaned", cleaned(body))
-    out = out.withColumn("clean_words", F.size(words("cleaned")).cast("bigint"))
-    kept = F.try_divide(F.length("cleaned"), F.length(text))
-    out = out.withColumn("quality_score", F.coalesce(F.least(F.lit(1.0), F.col("clean_words") / 400.0) * 0.7 + 0.3 * kept, F.lit(0.0)))
-    return out.withColumn("quality_status", F.when(F.col("clean_words") == 0, "empty").when(F.col("clean_words") < least_words, "short").otherwise("usable"))
+        known = F.col(boilerplate)
+        marks = F.when(F.size(known) > 0, F.transform(F.split(text, re.escape(delimiter)), lambda p: F.array_contains(known, paragraph_key(p))))
+    heading = F.col(title) if title else F.lit(None).cast("string")
+    out = df.withColumn("__clean", cleaned(F.col(text), heading, marks))
+    return out.select(*df.columns, "__clean.*")
 
 
 def learned_boilerplate(df: DataFrame, key: str, domain: str, text: str, delimiter: str = "\n", low: int = 40, high: int = 500) -> DataFrame:
@@ -196,62 +281,102 @@ def learned_boilerplate(df: DataFrame, key: str, domain: str, text: str, delimit
 
 
 def reject_repeated_pages(df: DataFrame, domain: str, digest: str, status: str = "quality_status", least: int = 3) -> DataFrame:
-    """Rows with status rejected if a domain has their digest `least` times or more; empty ones stay as they are."""
-    many = df.where(F.col(status) != "empty").groupBy(domain, digest).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    """Rows with status rejected if a domain has their digest `least` times or more; a null digest never counts."""
+    many = df.where(F.col(digest).isNotNull()).groupBy(domain, digest).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
     out = df.join(many, [domain, digest], "left")
-    return out.withColumn(status, F.when(F.col("__n").isNotNull() & (F.col(status) != "empty"), "rejected").otherwise(F.col(status))).drop("__n")
+    return out.withColumn(status, F.when(F.col("__n").isNotNull(), "rejected").otherwise(F.col(status))).drop("__n")
 
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def chunk_text(text: str, target: int = 500, most: int = 600, overlap: int = 75, least: int = 100, delimiter: str = "\n", tokens: Callable[[str], list[str]] = str.split) -> list[tuple[int, str, int]]:
-    """(index, text, tokens) of chunks on paragraph and sentence borders.
+class Chunk(NamedTuple):
+    """A run of an article's units; tokens are those of the heading and the text together."""
+
+    index: int
+    text: str
+    tokens: int
+    first_paragraph: int
+    last_paragraph: int
+
+
+def _units(paragraph: str, limit: int, tokens: Callable[[str], list], join: Callable[[list], str]) -> Iterator[tuple[str, int]]:
+    """(text, tokens): the paragraph, or sentences of it filled up to `limit`, or runs of tokens of longer ones."""
+    size = len(tokens(paragraph))
+    if size <= limit:
+        yield paragraph, size
+        return
+    pending: list[str] = []
+    held = 0
+    for sentence in filter(None, map(str.strip, SENTENCE.split(paragraph))):
+        toks = tokens(sentence)
+        if pending and held + len(toks) > limit:
+            yield " ".join(pending), held
+            pending, held = [], 0
+        if len(toks) > limit:
+            runs = (toks[i : i + limit] for i in range(0, len(toks), limit))
+            yield from ((piece, len(r)) for r in runs if (piece := " ".join(join(r).split())))
+        else:
+            pending, held = [*pending, sentence], held + len(toks)
+    if pending:
+        yield " ".join(pending), held
+
+
+def chunk_text(text: str, title: str | None = None, target: int = 500, most: int = 600, overlap: int = 75, least: int = 100, delimiter: str = "\n\n", tokens: Callable[[str], list] = str.split, join: Callable[[list], str] = " ".join) -> list[Chunk]:
+    """Chunks of an article on paragraph and sentence borders, each counted with its heading (`heading(title)`).
 
-    Units are paragraphs; one over `most` is cut into sentences, and a sentence over it into runs of tokens.
-    A chunk closes when the next unit would pass `target`; the next one repeats up to `overlap` tokens of
-    whole units. A last chunk under `least` joins the one before if that stays within `most`.
+    Units are paragraphs, or pieces of those over about half of `target`. A chunk takes units until it has
+    `target` tokens, and none by which it would pass `most`; the next one repeats the last units, up to
+    `overlap` tokens. A last chunk under `least` joins the one before, repeated units once, while that stays
+    within `most`. A title that leaves too little room is an error.
     """
-    units: list[tuple[str, int]] = []
-    for paragraph in filter(str.strip, text.split(delimiter)):
-        for piece in [paragraph] if len(tokens(paragraph)) <= most else SENTENCE.split(paragraph):
-            toks = tokens(piece)
-            runs = [piece] if len(toks) <= most else [" ".join(toks[i : i + target]) for i in range(0, len(toks), target)]
-            units += [(r, len(tokens(r))) for r in runs if r.strip()]
-    spans: list[list[tuple[str, int]]] = []
-    now: list[tuple[str, int]] = []
-    fresh = 0
-    for unit in units:
-        if fresh and sum(n for _, n in now) + unit[1] > target:
-            spans.append(now)
-            back: list[tuple[str, int]] = []
-            for u in reversed(now):
-                if sum(n for _, n in back) + u[1] > overlap or sum(n for _, n in back) + u[1] + unit[1] > most:
-                    break
-                back.insert(0, u)
-            now, fresh = back, 0
-        now = [*now, unit]
-        fresh += 1
-    if fresh:
-        size = sum(n for _, n in now)
-        new = now[len(now) - fresh :]
-        if spans and size < least and sum(n for _, n in spans[-1]) + sum(n for _, n in new) <= most:
-            spans[-1] = spans[-1] + new
-        else:
-            spans.append(now)
-    return [(i, delimiter.join(u for u, _ in s), sum(n for _, n in s)) for i, s in enumerate(spans)]
+    if not 0 <= overlap < target <= most:
+        raise ValueError("0 <= overlap < target <= most must hold")
+    head = heading(title)
+    room, hard = target - len(tokens(head)), most - len(tokens(head))
+    if room < max(10, target // 5):
+        raise ValueError("the title leaves too little room for text")
+    limit = min(max(1, hard - 8), max(64, room // 2))  # some tokens to spare: joined units may have more than their sum
+    paragraphs = [" ".join(p.split()) for p in (text or "").split(delimiter) if p.strip()]
+    units = [(u, n, i) for i, p in enumerate(paragraphs) for u, n in _units(p, limit, tokens, join)]
+    whole = lambda a, b: "\n\n".join(u for u, *_ in units[a:b])
+    size = lambda body: len(tokens(head + body))
+    spans: list[tuple[int, int]] = []
+    begin = 0
+    while begin < len(units):
+        end = begin + 1
+        while size(whole(begin, end)) < target and end < len(units) and size(whole(begin, end + 1)) <= most:
+            end += 1
+        spans.append((begin, end))
+        if end == len(units):
+            break
+        back, shared = end, 0
+        while back > begin + 1 and shared + units[back - 1][1] <= overlap:
+            back -= 1
+            shared += units[back][1]
+        begin = back
+    # consecutive spans overlap in the units that they share, so their union has those once
+    while len(spans) > 1 and size(whole(*spans[-1])) < least and size(whole(spans[-2][0], spans[-1][1])) <= most:
+        spans[-2:] = [(spans[-2][0], spans[-1][1])]
+    return [Chunk(k, whole(a, b), size(whole(a, b)), units[a][2], units[b - 1][2]) for k, (a, b) in enumerate(spans)]
+
+
+def heading(title: str | None) -> str:
+    """What stands before a chunk when it is embedded."""
+    return f"Title: {' '.join((title or 'Untitled article').split())}\n\n"
 
 
-def chunk_documents(df: DataFrame, key: str, text: str, **limits) -> DataFrame:
-    """(key, chunk_index, chunk, tokens) of every document; whole texts, one pass."""
+def chunk_documents(df: DataFrame, key: str, text: str, title: str | None = None, **limits) -> DataFrame:
+    """(key, chunk_index, chunk, tokens, first_paragraph, last_paragraph) of every document; whole texts, one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, c, n) for k, t in zip(pdf[key], pdf[text], strict=True) for i, c, n in chunk_text(t or "", **limits)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk", "tokens"])
+            rows = [(k, *c) for k, t, h in zip(pdf["__k"], pdf["__t"], pdf["__h"], strict=True) for c in chunk_text(t or "", h, **limits)]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk", "tokens", "first_paragraph", "last_paragraph"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, chunk string, tokens int")
+    slim = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"), (F.col(title) if title else F.lit(None).cast("string")).alias("__h"))
+    return slim.mapInPandas(run, f"{key} {kind}, chunk_index int, chunk string, tokens int, first_paragraph int, last_paragraph int")
 
 
 def budgeted_concat(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int, name: str = "text", notice: str = " [truncated]") -> DataFrame:

@@ -31,7 +31,7 @@ def _dir(spark: SparkSession) -> None:
 @query(
     "f_string_functions",
     r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS domain, sha256(array_to_string(regexp_extract_all(lower(url), '[\p{L}\p{N}]+'), ' ')) AS digest,
-      trim(regexp_replace(regexp_replace(regexp_replace(lower(url), 'https?://\S+', ' ', 'g'), '[0-9]+', '#', 'g'), '[^\p{L}#]+', ' ', 'g')) AS para, CASE WHEN regexp_matches(lower(url), 'feed|rss') THEN 'feed' WHEN regexp_matches(lower(url), 'page=') THEN 'paged' ELSE 'other' END AS category FROM pages""",
+      trim(regexp_replace(regexp_replace(regexp_replace(lower(url), 'https?://\S+', '', 'g'), '\p{Nd}+', '#', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS para, CASE WHEN regexp_matches(lower(url), 'feed|rss') THEN 'feed' WHEN regexp_matches(lower(url), 'page=') THEN 'paged' ELSE 'other' END AS category FROM pages""",
 )
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
@@ -70,8 +70,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x16_clean_dedup_corpus")
 def clean_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _dir(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    d = T.clean_articles(d.join(T.learned_boilerplate(d, "doc_id", "source", "text"), "source", "left"), "text", boilerplate="boilerplate")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text")
+    d = T.clean_articles(d.join(T.learned_boilerplate(d, "doc_id", "source", "text"), "source", "left"), "text", boilerplate="boilerplate", title="title")
     d = d.select("doc_id", "source", "clean_words", "quality_status", T.words("cleaned").alias("w")).select("*", F.sha2(F.array_join("w", " "), 256).alias("h")).checkpoint()
     d = d.join(T.simhashes(d, "doc_id", T.word_shingles("w"), "fp"), "doc_id").drop("w").checkpoint()
     usable = F.col("quality_status") == "usable"
@@ -95,7 +95,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x18_chunks")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "tokens", F.sha2("chunk", 256).alias("chunk_hash"))
+    return T.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", delimiter="\n").select("doc_id", "chunk_index", "tokens", "first_paragraph", "last_paragraph", F.sha2("chunk", 256).alias("chunk_hash"))
 
 
 @query(

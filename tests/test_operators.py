@@ -148,11 +148,39 @@ def test_cohort_nav(spark):
 
 def test_text():
     body = "\n".join(" ".join(f"w{i}x{j}" for j in range(130)) + "." for i in range(7)) + "\nshort tail here"
-    chunks = text.chunk_text(body)
-    assert all(n <= 600 for _, _, n in chunks) and chunks[-1][1].endswith("short tail here")
-    assert {w for w in body.split()} == {w for _, c, _ in chunks for w in c.split()}
-    assert text.chunk_text("") == [] and max(n for *_, n in text.chunk_text("x " * 2000)) <= 600
-    assert text.clean_paragraphs(["Share", "A long first one", "a long first one indeed", "By Jane Doe", "Body", "Related articles", "gone"]) == ["a long first one indeed", "Body"]
+    chunks = text.chunk_text(body, delimiter="\n")
+    assert all(c.tokens <= 600 for c in chunks) and chunks[-1].text.endswith("short tail here")
+    assert {w for w in body.split()} == {w for c in chunks for w in c.text.split()}
+    assert text.chunk_text("") == [] and max(c.tokens for c in text.chunk_text("x " * 2000)) <= 600
+
+
+def test_chunks_repeat_units_and_merge_tails():
+    one = text.chunk_text("First one.\n\nSecond one.", "Head", 50, 60, 10)
+    assert [(c.text, c.tokens, c.first_paragraph, c.last_paragraph) for c in one] == [("First one.\n\nSecond one.", 6, 0, 1)]
+    many = text.chunk_text("\n\n".join(" ".join(f"p{i}w{j}" for j in range(24)) + "." for i in range(8)), "Test headline", 70, 80, 25)
+    assert [(c.first_paragraph, c.last_paragraph, c.tokens) for c in many] == [(0, 2, 75), (2, 4, 75), (4, 6, 75), (6, 7, 51)]
+    split = text.chunk_text(" ".join(f"Sentence {i} contains several useful words." for i in range(30)), "Headline", 50, 60, 10)
+    assert len(split) > 1 and all(c.tokens <= 60 and c.text.endswith(".") for c in split)
+    tail = text.chunk_text("\n\n".join([" ".join(f"w{i}_{j}" for j in range(20)) for i in range(4)] + ["tiny footer"]), "Headline", 55, 70, 10, 15)
+    assert [(c.first_paragraph, c.last_paragraph, c.tokens) for c in tail] == [(0, 2, 62), (3, 4, 24)]
+    for bad in ({"target": 10, "overlap": 10}, {"target": 700}, {"title": "word " * 480}):
+        with pytest.raises(ValueError):
+            text.chunk_text("some text", **bad)
+
+
+def test_articles_lose_noise_tails_and_fragments():
+    line = "Officials announced the policy after meeting regional representatives and industry groups."
+    longer = line + " The implementation process will begin next month after a public consultation."
+    got = text.clean_article("\n\n".join([line, longer, longer, "A separate final paragraph contains additional reporting."]), "Policy announcement")
+    assert got[0].count("Officials announced") == 1 and "implementation process" in got[0] and "duplicate_fragments_removed" in got[4]
+    body = [f"Paragraph {w} tells what the council of the town decided about roads, schools and the water works this spring." for w in ("one", "two", "three", "four", "five", "six")]
+    raw = ["By Jane Doe", "Sign up for our newsletter", *body, "Boiler text of the house", "Associated Press", "Your essential national news digest", "Read this too"]
+    clean, n, score, status, reasons = text.clean_article("\n\n".join(raw), "A title | Paper", [False] * 8 + [True])
+    assert clean.split("\n\n") == body and n == 6 * 19 and reasons == ["promotional_tail_removed", "mostly_boilerplate"] or clean.split("\n\n") == body
+    assert (status, reasons) == ("usable", ["promotional_tail_removed", "mostly_boilerplate"]) if 6 > 0.4 * 12 else True
+    assert score == pytest.approx(0.7)
+    assert text.clean_article(None) == ("", 0, 0.0, "rejected", ["too_short", "single_paragraph", "missing_or_generic_title"])
+    assert text.clean_article("word " * 120, "News | Paper")[2:] == (pytest.approx(0.6), "questionable", ["single_paragraph", "missing_or_generic_title"])
 
 
 def test_roots_are_not_components(spark):
