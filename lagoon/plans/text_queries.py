@@ -13,6 +13,7 @@ from lagoon.operators import search as Q
 from lagoon.operators import text as T
 from lagoon.plans.registry import query
 from lagoon.plans.tables import RETURNS, returns, table
+from lagoon.sources.documents import extract_articles, extract_filings
 
 
 def _dir(spark: SparkSession) -> None:
@@ -334,3 +335,15 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("split").orderBy(F.col("priority").desc(), "p_partkey")
     k = p.withColumn("rank", F.row_number().over(w)).join(F.broadcast(largest_remainder(shares, "split", "share", 100)), "split")
     return k.where("rank <= quota").select("p_partkey", "split", "rank", F.round("priority", 6).alias("priority"))
+
+
+@query("s11_articles")
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and prose of every page."""
+    return extract_articles(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("s12_filing_texts")
+def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page read as a filing whose description is its URL."""
+    return extract_filings(table(spark, sf_dir, "pages"), "page_id", "html", "url")
