@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.functions.exprs import null_tokens, optional_number
 from lagoon.operators.joins import asof_join
 
 
@@ -51,6 +52,20 @@ def columnar_rows(df: DataFrame, key: str, payload: str, schema: str) -> DataFra
     return parsed.select(key, F.posexplode(checked).alias("place", "r")).select(key, "place", *[F.col("r")[n].alias(n) for n in names])
 
 
+def object_rows(df: DataFrame, key: str, payload: str, field: str, numbers: Sequence[str], dates: Sequence[str], retrieved: str, reported: str | None = None) -> DataFrame:
+    """A row per object of the array `field` of a JSON payload: numbers and dates, NULL for markers such as None.
+
+    available_at is the last second of the `reported` date, or the time of retrieval if that is missing or not
+    asked for. Payloads without such an array give nothing; the same object twice gives two rows.
+    """
+    objects = F.from_json(payload, f"struct<`{field}`: array<map<string, string>>>")[field]
+    o = df.select(key, F.col(retrieved).cast("timestamp").alias("__at"), F.posexplode(objects).alias("place", "__o"))
+    value = lambda c: F.try_element_at("__o", F.lit(c))
+    day = lambda c: null_tokens(value(c)).try_cast("date")
+    closed = F.col("__at") if reported is None else F.coalesce(day(reported).cast("timestamp") + F.expr("interval 86399 seconds"), F.col("__at"))
+    return o.select(key, "place", *[optional_number(value(c)).alias(c) for c in numbers], *[day(c).alias(c) for c in dates], closed.alias("available_at"))
+
+
 def nested_facts(df: DataFrame, key: str, payload: str, value: str, tags: Sequence[str] | None = None) -> DataFrame:
     """(key, taxonomy, tag, unit, fact fields) from taxonomy -> tag -> unit -> facts; unwanted tags go first."""
     kind = f"map<string, map<string, struct<label: string, units: map<string, array<{value}>>>>>"

@@ -193,3 +193,15 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.size(wide).alias("width"), F.round(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+
+
+@query(
+    "r15_object_rows",
+    """SELECT o_custkey, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS reported, CASE WHEN o_orderkey % 7 > 0 THEN date_trunc('day', o_orderdate) + INTERVAL 86399 SECOND ELSE TIMESTAMP '2024-05-06 07:08:09' END AS available_at FROM orders""",
+)
+def object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 5 > 0, F.format_string("%.2f", "o_totalprice")).otherwise("None")
+    reported = F.when(F.col("o_orderkey") % 7 > 0, F.to_date("o_orderdate").cast("string")).otherwise("-")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(F.struct(price.alias("price"), reported.alias("reported"))).alias("rows"))).alias("payload"))
+    out = I.object_rows(o.withColumn("at", F.lit("2024-05-06 07:08:09")), "o_custkey", "payload", "rows", ["price"], ["reported"], "at", "reported")
+    return out.drop("place")

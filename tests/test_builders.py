@@ -153,3 +153,10 @@ def test_surprise_fills_empty_sessions(spark):
     e = pd.DataFrame([(dt.date(2024, 1, 1 + i % 8), "war", 1.0, 0.5, 2.0) for i in range(20)], columns=["d", "c", "i", "t", "v"])
     out = macro.news_surprise(spark.createDataFrame(e, "d date, c string, i double, t double, v double"), "d", "c", ["War".lower(), "peace"], "i", "t", "v", days, "day", 5, 2).collect()
     assert len(out) == 10 and all(v is not None for r in out for v in r) and {r["context__geo__event_count__peace__surprise"] for r in out} == {0.0}
+
+
+def test_objects_of_awkward_payloads(spark):
+    rows = [(1, '{"q": [{"a": "1,000", "d": "2024-01-02"}, {"a": "None"}, {"a": "x", "d": "soon"}]}'), (2, '{"q": []}'), (3, "no json"), (4, None), (5, '{"p": 1}')]
+    got = ingest.object_rows(spark.createDataFrame([(*r, "2024-03-04 05:06:07") for r in rows], "k int, p string, at string"), "k", "p", "q", ["a"], ["d"], "at", "d").orderBy("place").collect()
+    later = dt.datetime(2024, 3, 4, 5, 6, 7)
+    assert [tuple(r) for r in got] == [(1, 0, 1000.0, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 23, 59, 59)), (1, 1, None, None, later), (1, 2, None, None, later)]
