@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lagoon.operators.panel import drawdown, wealth
 from lagoon.operators.select import keep_one, robust_scale, tails
@@ -44,9 +45,14 @@ def net_of_cost(spread: Column, turnover_: Column, bps: float, sides: int = 2) -
     return spread - F.coalesce(turnover_, F.lit(1.0)) * F.lit(2.0 * sides * bps / 1e4)
 
 
-def _placed(prices: DataFrame, day: str) -> DataFrame:
-    """Sessions with their place from 1: a few thousand rows."""
-    return prices.select(day).distinct().withColumn("__i", F.row_number().over(Window.orderBy(day)))
+def _placed(prices: DataFrame, day: str) -> tuple[DataFrame, list]:
+    """(day, __i): the sessions with their places from 1, and their list.
+
+    A calendar has a few thousand days; collected once, it does not drag the price table into every join.
+    """
+    days = sorted(r[0] for r in prices.where(F.col(day).isNotNull()).select(day).distinct().collect())
+    kind = StructType([StructField(day, prices.schema[day].dataType), StructField("__i", IntegerType())])
+    return prices.sparkSession.createDataFrame([(d, i) for i, d in enumerate(days, 1)], kind), days
 
 
 def _cohort_units(entry: DataFrame, prices: DataFrame, key: str, open_col: str, close_col: str) -> DataFrame:
@@ -109,16 +115,15 @@ def simulate(picks: DataFrame, prices: DataFrame, day: str, key: str, side: str,
     marked at closes (a missing close carries the last one) and leaves at the close of its horizon-th
     session; entries and exits cost `cost_bps` of the notional each. Positions of cohorts are not netted.
     """
-    sessions = _placed(prices, day)
+    sessions, days = _placed(prices, day)
     p = prices.join(F.broadcast(sessions), day)
-    last = sessions.agg(F.max("__i").alias("__last"))
     c = picks.where(F.col(side).isin(1, -1)).join(F.broadcast(sessions), day).select(F.col(key), F.col(side).alias("__side"), F.col("__i").alias("__c0"))
     known = c.join(p.where(F.col(open_col) > 0).select(key, F.col("__i").alias("__c0")), [key, "__c0"])
     sides = known.groupBy("__c0").agg(F.count_distinct("__side").alias("__sides"))
     weight = F.lit(1.0) / (F.count(F.lit(1)).over(Window.partitionBy("__c0", "__side")) * F.col("__sides"))
-    entry = known.join(sides, "__c0").withColumn("__w", weight * F.col("__side")).join(F.broadcast(last))
+    entry = known.join(sides, "__c0").withColumn("__w", weight * F.col("__side"))
     due = F.col("__c0") + F.lit(horizon - 1)
-    entry = entry.select(key, "__c0", F.least(due, F.col("__last")).alias("__i1"), due.alias("__due"), "__w")
+    entry = entry.select(key, "__c0", F.least(due, F.lit(len(days))).alias("__i1"), due.alias("__due"), "__w")
     path = _nav_path(_cohort_units(entry, p, key, open_col, close_col), horizon, cost_bps / 1e4)
     return path.join(sessions, "__i").select(day, "nav", "r")
 
@@ -161,9 +166,10 @@ def backtest(
         raise ValueError("both thresholds or none, and positive")
     quoted = keep_one(prices.where(F.col(open_col).isNotNull() & F.col(close_col).isNotNull()), [day, key], [F.col(open_col), F.col(close_col)])
     asked = predictions.where(F.col(day).isNotNull() & F.col(end).isNotNull() & F.col(score).isNotNull())
-    span = asked.agg(F.min(day).alias("__from"), F.max(F.col(end).cast("date")).alias("__to"))
-    quoted = quoted.join(F.broadcast(span)).where(F.col(day).between(F.col("__from"), F.col("__to"))).select(day, key, open_col, close_col)
-    sessions = _placed(quoted, day)
+    begins, finishes = asked.agg(F.min(F.col(day).cast("date")), F.max(F.col(end).cast("date"))).first()
+    within = F.col(day).cast("date").between(F.lit(begins), F.lit(finishes))
+    quoted = quoted.where(within).select(day, key, open_col, close_col)
+    sessions, _ = _placed(prices.where(within & F.col(open_col).isNotNull() & F.col(close_col).isNotNull()), day)
     p = quoted.join(F.broadcast(sessions), day)
     c = asked.select(day, key, F.col(score).cast("double").alias("__s"), F.col(end).cast("date").alias("__end")).join(p.select(day, key, F.col("__i").alias("__c0")), [day, key])
     of_day = Window.partitionBy("__c0")
@@ -183,8 +189,8 @@ def backtest(
     weight = F.when(F.col("__long"), half / F.col("__l")).when(F.col("__short") & F.lit(mode != "long-only"), -half / F.col("__h"))
     days = c.groupBy("__c0").agg(F.max("__l").cast("bigint").alias("long_names"), F.max("__h" if mode != "long-only" else F.lit(0)).cast("bigint").alias("short_names"), F.bool_or(signal).alias("signal"))
     until = sessions.select(F.col(day).cast("date").alias("__end"), F.col("__i").alias("__due"))
-    beyond = F.date_add(F.greatest("__end", "__to"), 1)
-    calendar = until.join(F.broadcast(span)).select(F.col("__end").alias("__from"), F.date_sub(F.coalesce(F.lead("__end").over(Window.orderBy("__end")), beyond), 1).alias("__last"), "__due")
+    beyond = F.date_add(F.greatest("__end", F.lit(finishes)), 1)
+    calendar = until.select(F.col("__end").alias("__from"), F.date_sub(F.coalesce(F.lead("__end").over(Window.orderBy("__end")), beyond), 1).alias("__last"), "__due")
     every_day = calendar.select(F.explode(F.sequence("__from", "__last")).alias("__end"), "__due")  # every date with the last session at or before it
     entry = c.where(signal).withColumn("__w", weight).where("__w is not null").join(F.broadcast(every_day), "__end").where("__due >= __c0")
     units = _cohort_units(entry.select(key, "__c0", F.col("__due").alias("__i1"), "__due", "__w"), p, key, open_col, close_col)

@@ -160,3 +160,9 @@ def test_objects_of_awkward_payloads(spark):
     got = ingest.object_rows(spark.createDataFrame([(*r, "2024-03-04 05:06:07") for r in rows], "k int, p string, at string"), "k", "p", "q", ["a"], ["d"], "at", "d").orderBy("place").collect()
     later = dt.datetime(2024, 3, 4, 5, 6, 7)
     assert [tuple(r) for r in got] == [(1, 0, 1000.0, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 23, 59, 59)), (1, 1, None, None, later), (1, 2, None, None, later)]
+
+
+def test_backtest_of_nothing(spark):
+    p = _prices(spark, {"a": [1.0, 2.0]})
+    none = spark.createDataFrame([], "d date, e date, k string, s double")
+    assert portfolio.backtest(none, p, "d", "e", "k", "s").count() == 0
