@@ -35,13 +35,16 @@ def capped_sum(x: Column | str, cap: float) -> Column:
     return F.sum(F.when(x.isNull() | (x < 0), 0.0).when(x > cap, cap).otherwise(x))
 
 
-def assessment_summary(df: DataFrame, keys: Sequence[str], impact: str, confidence: str, members: str) -> DataFrame:
+def assessment_summary(df: DataFrame, keys: Sequence[str], impact: str, confidence: str, members: str, above: float | None = None) -> DataFrame:
     """Per key: confidence-weighted mean and variance, noisy-or, strongest, sign conflict, distinct members.
 
-    members is an array; the distinct ones are counted over all rows.
+    members is an array; the distinct ones but NULL are counted over all rows. above: keys whose confidences do not
+    add up to more are left out; without it they have the plain mean.
     """
-    mean = df.groupBy(*keys).agg(weighted_mean(impact, confidence).alias("mean"))
-    d = df.join(mean, list(keys))
+    mean = df.groupBy(*keys).agg(weighted_mean(impact, confidence).alias("mean"), F.sum(confidence).alias("__sum"))
+    if above is not None:
+        mean = mean.where(F.col("__sum") > above)
+    d = df.join(mean.drop("__sum"), list(keys))
     spread = weighted_mean(F.pow(F.col(impact) - F.col("mean"), 2), confidence)
     up, down = F.max((F.col(impact) > 0).cast("int")), F.max((F.col(impact) < 0).cast("int"))
     return d.groupBy(*keys).agg(
@@ -51,7 +54,7 @@ def assessment_summary(df: DataFrame, keys: Sequence[str], impact: str, confiden
         F.max_by(impact, F.struct(F.abs(F.col(impact)), F.col(impact))).alias("strongest"),
         (F.coalesce(up, F.lit(0)) * F.coalesce(down, F.lit(0))).alias("conflict"),
         F.count(F.lit(1)).alias("assessments"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(members)))).cast("bigint").alias("members"),
+        F.size(F.array_compact(F.array_distinct(F.flatten(F.collect_list(members))))).cast("bigint").alias("members"),
     )
 
 
