@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagoon.operators.aggs import vector_mean
-from lagoon.operators.joins import similarity_pairs
+from lagoon.operators.joins import similarity_forest, similarity_pairs
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str, left: str = "left", right: str = "right", rounds: int = 60) -> DataFrame:
@@ -41,7 +41,10 @@ def cluster(df: DataFrame, key: str, day: str, vector: str, title: str, high: fl
     key), size, and the mean member vector, normalised. cluster_id is 24 digits of the sha256 of the day and
     the sorted member keys.
     """
-    pairs = similarity_pairs(df, key, day, vector, title_tokens, high, low, least_jaccard)
+    if title_tokens or low < high:
+        pairs = similarity_pairs(df, key, day, vector, title_tokens, high, low, least_jaccard)
+    else:
+        pairs = similarity_forest(df, key, day, vector, high)
     root = connected_components(df.select(key), pairs, key)
     d = df.join(root, key)
     ids = d.groupBy("root").agg(F.min(day).alias(day), F.min_by(key, F.struct(F.length(title), F.col(title), F.col(key))).alias("representative"), F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k.cast("string")), ",").alias("__keys"))

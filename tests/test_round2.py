@@ -3,10 +3,11 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lagoon.operators import joins
+from lagoon.operators import events, joins
 
 
 def both(spark, folder, name, tables):
@@ -39,3 +40,28 @@ def test_containment_shuffles_no_texts(spark):
     plan = joins.containment_join(t, "text", a, "alias", ["id"]).select("id", "alias")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
     assert joins.containment_join(t, "text", a.where(F.lit(False)), "alias", ["id"]).count() == 0
+
+
+def test_clusters_by_a_forest_of_links(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (70, 8))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = [(i, f"g{i % 2}", [float(x) for x in np.float32(base[i % 70])]) for i in range(140)]
+    rows += [(200, "g0", [0.6, 0.5, *[0.0] * 6]), (201, "g2", [0.3] + [0.0] * 7), (202, "g2", [1.0] + [0.0] * 7), (203, "g2", [0.0] * 8)]
+    e = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got, want = both(spark, tmp_path, "x20_clusters", {"embeddings": e})
+    assert got == want
+    pairs = joins.similarity_pairs(e, "vec_id", "label", "embedding", None, 0.3)
+    for bucket in (3, 2048):
+        links = joins.similarity_forest(e, "vec_id", "label", "embedding", 0.3, bucket)
+        roots = [events.connected_components(e.select("vec_id"), x, "vec_id").collect() for x in (pairs, links)]
+        assert sorted(roots[0]) == sorted(roots[1])
+    assert links.count() < 2 * e.count() < pairs.count()
+    odd = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0]), (3, "a", None), (4, "a", [1.0, None]), (5, None, [1.0, 0.0]), (6, "a", [1.0, 0.0]), (7, "a", [float("nan"), 0.0])], "k int, g string, v array<double>")
+    assert {tuple(sorted(r)) for r in joins.similarity_forest(odd, "k", "g", "v", 2.0).collect()} == {(1, 7), (6, 7)}  # NaN is above every bound
+    assert joins.similarity_forest(odd.where("k = 2"), "k", "g", "v", 0.5).count() == 0
+
+
+def test_a_tile_of_copies_takes_few_links():
+    left, right = joins.spanning_links(np.ones((900, 4)), np.ones((800, 4)), 0.5)
+    assert len(left) == len(right) == 900 + 800 - 1
