@@ -1,9 +1,11 @@
 """Queries against their SQL on small tables that the driver's do not hold, and operators at odd sizes."""
 
 import datetime as dt
+import os
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -65,3 +67,13 @@ def test_clusters_by_a_forest_of_links(spark, tmp_path):
 def test_a_tile_of_copies_takes_few_links():
     left, right = joins.spanning_links(np.ones((900, 4)), np.ones((800, 4)), 0.5)
     assert len(left) == len(right) == 900 + 800 - 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_assessment_features_round_ties_up(spark, tmp_path):
+    exact = {(49, 1996): 0.239063, (305, 2000): 0.260313, (566, 1995): 0.285938, (869, 1996): 0.273438}  # ties, by decimals
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where(F.col("l_suppkey").isin(49, 305, 566, 869))
+    for n, order in enumerate(("l_orderkey", "l_tax", "l_quantity")):
+        li.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        made = entry.queries()["a10_assessment_features"](spark, f"{tmp_path}/{n}").collect()
+        assert {(r["k"], r["y"]): r["persistence"] for r in made if (r["k"], r["y"]) in exact} == exact
