@@ -32,6 +32,19 @@ from lagoon.llm.common import materialise, row_slices, text_or_empty
 KINDS = bytes(97 if chr(i).isalnum() and i < 128 else 46 if i in b".," else i if i in b" \n" else 120 for i in range(256))
 
 
+class Known(dict):
+    """Ids by word; a word without them gives None and is noted, so that a text costs one look-up a word."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: dict[bytes, None] = {}
+        self.missed = 0
+
+    def __missing__(self, word: bytes) -> None:
+        self.new[word] = None
+        self.missed += 1
+
+
 class WordCache:
     """Token ids of texts by a tokenizer whose words never cross ASCII white space.
 
@@ -46,7 +59,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known()
         self.most = most
         coded = lambda x: self.library.encode(x, add_special_tokens=False).ids
         for probe in ("one two", "a\n\nb", " x\t'll y ", "1 2\r\n3"):
@@ -91,14 +104,21 @@ class WordCache:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end to end."""
-        words = [self.words(t) for t in texts]
+        words, found, holes = [self.words(t) for t in texts], [], []
         known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        made = self.encode(new) if new else {}
-        if len(known) + len(made) <= self.most:
-            known.update(made)
-            return [b"".join(map(known.__getitem__, w)) for w in words]
-        return [b"".join(known[x] if x in known else made[x] for x in w) for w in words]
+        for i, w in enumerate(words):
+            before = known.missed
+            found.append(list(map(known.__getitem__, w)))
+            if known.missed > before:
+                holes.append(i)
+        if holes:
+            made = self.encode(list(known.new))
+            for i in holes:
+                found[i] = [made[x] if ids is None else ids for ids, x in zip(found[i], words[i], strict=True)]
+            known.new.clear()
+            if len(known) + len(made) <= self.most:
+                known.update(made)
+        return [b"".join(x) for x in found]
 
 
 @lru_cache(maxsize=2)

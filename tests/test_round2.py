@@ -77,3 +77,16 @@ def test_assessment_features_round_ties_up(spark, tmp_path):
         li.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
         made = entry.queries()["a10_assessment_features"](spark, f"{tmp_path}/{n}").collect()
         assert {(r["k"], r["y"]): r["persistence"] for r in made if (r["k"], r["y"]) in exact} == exact
+
+
+def test_word_cache_looks_a_word_up_once():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from lagoon.llm.packing import WordCache
+
+    texts = ["one two, one", "", "two three four two", "one <|x|> five. one"]
+    for most in (2, 1000):
+        cache = WordCache(public_tokenizers.path("word_bpe_49k.json"), most)
+        want = [np.array(cache.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert cache.ids(texts) == want and not cache.known.new
+        missed = cache.known.missed
+        assert cache.ids(texts) == want and (cache.known.missed > missed) == (most == 2)
